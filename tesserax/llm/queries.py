@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, media, simhash
+from . import html_extract, media, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,9 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op4_simhash": op4_simhash, "op6_media": op6_media}
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_ledger(spark, _table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans}
 ORACLES: dict[str, str] = {}
