@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, media, secrets, simhash, toxicity
+from . import html_extract, media, secrets, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark, _table(spark, sf_dir, "pages"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.train(spark))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,5 +40,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filters": op2_url_filters, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
