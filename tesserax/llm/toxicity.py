@@ -20,6 +20,7 @@ that of its own subsequences. A document's score is that of its most toxic strin
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,7 +37,7 @@ STEP = 10
 POSITIVE_LANDMARKS = 160
 OTHER_LANDMARKS = 160
 MAX_LABELLED = 4000
-MAX_NEGATIVE_STRINGS = 20_000
+MAX_NEGATIVE_STRINGS = 16_000
 ROUNDS = 3
 POSITIVE_COST = 60.0
 NEGATIVE_COST = 30.0
@@ -171,20 +172,18 @@ def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised subsequence kernel of every word with every landmark."""
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    if not words:
-        return out
-    r, i, v = _matrix(words)
-    order = np.argsort(r, kind="stable")
-    r, i, v = r[order], i[order], v[order]
     for first in range(0, len(landmarks), 32):
         block = landmarks[first : first + 32]
         dense = np.zeros((SIZE**LENGTH, len(block)), dtype=np.float32)
         lr, li, lv = _matrix(block)
         np.add.at(dense, (li, lr), lv)
-        for at in range(0, len(r), 200_000):
-            s = slice(at, at + 200_000)
-            starts = np.flatnonzero(np.concatenate([[True], r[s][1:] != r[s][:-1]]))
-            out[r[s][starts], first : first + 32] += np.add.reduceat(dense[i[s]] * v[s][:, None], starts, axis=0)
+        for top in range(0, len(words), 2000):
+            r, i, v = _matrix(words[top : top + 2000])
+            order = np.argsort(r, kind="stable")
+            r, i, v = r[order], i[order], v[order].astype(np.float32)
+            starts = np.flatnonzero(np.diff(r, prepend=-1))
+            if len(r):
+                out[top + r[starts], first : first + 32] = np.add.reduceat(dense[i] * v[:, None], starts, axis=0)
     return out
 
 
@@ -211,15 +210,15 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3, rou
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on whole labelled texts. Without both labels the score is the base rate."""
-    none = Model(np.zeros(SIZE**LENGTH), 0.0, 0.0, 0.0)
+    none = Model(np.zeros(SIZE**LENGTH, dtype=np.float32), 0.0, 0.0, 0.0)
     good, bad = [t for t, y in zip(texts, labels, strict=True) if not y], [t for t, y in zip(texts, labels, strict=True) if y]
     if not good or not bad:
         rate = (len(bad) + 0.5) / (len(texts) + 1)
         return Model(none.weights, 0.0, 0.0, float(np.log(rate / (1 - rate))))
     clean: Counter = Counter()
     for t in good:
-        clean.update(set(strings(t)))
-    bags = [[set(strings(s)) for s in _SENTENCE.split(t)] for t in bad]
+        clean.update(set(map(sys.intern, strings(t))))
+    bags = [[set(map(sys.intern, strings(s))) for s in _SENTENCE.split(t)] for t in bad]
     toxic: Counter = Counter()
     for sentences in bags:
         toxic.update(set().union(*sentences))
@@ -231,12 +230,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(none.weights, 0.0, 0.0, float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(SEED)
     common = sorted(clean, key=lambda w: (-clean[w], w))
-    rest = sorted(rng.choice(common, min(len(common), MAX_NEGATIVE_STRINGS), replace=False).tolist())
+    rest = common[: MAX_NEGATIVE_STRINGS // 2] + sorted(rng.choice(common, min(len(common), MAX_NEGATIVE_STRINGS // 2), replace=False).tolist())
     # The clean strings closest to likely insults decide where the border runs.
     seeds = tops[:POSITIVE_LANDMARKS]
     pool = [w for w in (common if len(common) <= 4 * MAX_NEGATIVE_STRINGS else sorted(rng.choice(common, 4 * MAX_NEGATIVE_STRINGS, replace=False).tolist()))]
     near = kernel(pool, seeds).max(axis=1) if pool else np.zeros(0)
-    hard = [pool[i] for i in np.argsort(-near, kind="stable")[: MAX_NEGATIVE_STRINGS // 3]]
+    hard = [pool[i] for i in np.argsort(-near, kind="stable")[: MAX_NEGATIVE_STRINGS // 2]]
     negatives = sorted(set(rest) | set(hard) | {w for w in toxic if clean[w] and w in lean})
     landmarks = list(dict.fromkeys([*seeds, *hard[: OTHER_LANDMARKS // 2], *common[: OTHER_LANDMARKS // 2]]))
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
@@ -259,7 +258,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         y = np.concatenate([np.ones(len(high)), -np.ones(len(negatives))])
         cost = np.concatenate([np.minimum([chosen[w] for w in high], POSITIVE_COST), 1 + np.minimum([clean[w] for w in negatives], NEGATIVE_COST)])
         beta, bias = _svm(x, y, cost)
-        dense = np.zeros(SIZE**LENGTH)
+        dense = np.zeros(SIZE**LENGTH, dtype=np.float32)
         np.add.at(dense, i, (project @ beta)[r] * v)
         model = Model(dense, bias, 1.0, 0.0)
         score = model.margins(list(toxic))
@@ -299,9 +298,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("k"))).withColumn("o", F.xxhash64("k"))
     pick = known.where("y = 1").orderBy("o", "k").limit(max_labelled).union(known.where("y = 0").orderBy("o", "k").limit(max_labelled))
-    found = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(pick), "k").select("k", "t", "y")
-    rows = sorted((r.k, r.t or "", r.y) for r in found.collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    found = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(pick), "k").select("k", "t", "y")
+
+    def run(batches):
+        rows = sorted((k, t, y) for b in batches for k, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        m = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.offset))], names=["w", "b", "s", "o"])
+
+    # The sample is bounded, so one task of an executor fits it; the driver gets the model alone.
+    r = found.repartition(1).mapInArrow(run, "w binary, b double, s double, o double").first()
+    return fit([], []) if r is None else Model(np.frombuffer(bytes(r.w), dtype=np.float32), r.b, r.s, r.o)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
