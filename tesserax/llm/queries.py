@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, media, secrets, simhash, toxicity, url_filter
+from . import ann, html_extract, media, secrets, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,15 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_ledger(spark, _table(spark, sf_dir, "documents")))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(spark, docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(spark, docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filters": op2_url_filters, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filters": op2_url_filters, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
