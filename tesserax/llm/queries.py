@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, media, secrets, simhash, toxicity, url_filter
+from . import ann, html_extract, media, pii, secrets, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.entities(spark, _table(spark, sf_dir, "documents")))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_ledger(spark, _table(spark, sf_dir, "documents")))
 
@@ -44,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filters": op2_url_filters, "op4_simhash": op4_simhash, "op6_media": op6_media, "op8_secret_scans": op8_secret_scans, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_url_filters": op2_url_filters, "op4_simhash": op4_simhash, "op6_media": op6_media, "op7_personal_data": op7_personal_data, "op8_secret_scans": op8_secret_scans, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
