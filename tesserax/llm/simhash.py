@@ -137,7 +137,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows repeat. An empty table gives an empty result. Other columns are not read.
     """
     own = materialize(spark, fingerprints(docs, id_col, text_col), "fingerprints")
-    first = _smallest(spark, own, "doc_id", max_bits, segment_bits, cell_limit)
+    # From a table, both sides of the last join have exchanges of their own, and a fingerprint
+    # with very many rows can be split.
+    first = materialize(spark, _smallest(spark, own, "doc_id", max_bits, segment_bits, cell_limit), "groups")
     return own.join(first, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
