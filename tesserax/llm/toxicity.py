@@ -329,3 +329,17 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return slim.mapInArrow(run, "doc_id long, margin double, score double, predicted int")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text the model doesn't call toxic."""
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        m, cache = sent.value, {}
+        for b in batches:
+            if len(cache) > CACHE:
+                cache.clear()
+            yield b.filter(pa.array([m.probability(document_margin(m, t.as_py(), cache)) < 0.5 for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
