@@ -1,0 +1 @@
+"""Index-shaped analytics on Spark DataFrames: maps, sequences, queues, boxes, runs, logs."""
