@@ -14,26 +14,26 @@ def window(table: DataFrame, low, high, closed: bool = False, whole: bool = True
     return table.where(own.intersects(asked) if closed else own.overlaps(asked))
 
 
-def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, size: tuple[float, float], prefix: str) -> DataFrame:
     """A row per grid cell that a two-dimensional box touches."""
-    index = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long")
     for axis in (0, 1):
+        index = lambda c, w=size[axis]: F.floor(F.col(c) / F.lit(w)).cast("long")
         df = df.withColumn(f"_c{axis}", F.explode(F.sequence(index(f"{prefix}lo{axis}"), index(f"{prefix}hi{axis}"))))
     return df
 
 
-def join(left: DataFrame, right: DataFrame, size: float, closed: bool = False, whole: bool = True) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, size: tuple[float, float], closed: bool = False, whole: bool = True) -> DataFrame:
     """Pairs of boxes that meet: columns of ``left`` (lo0, hi0, lo1, hi1, ...) and of
     ``right`` with the prefix ``r_``.
 
     An equi-join on grid cells finds candidates; a pair counts only in the cell of its
     shared low corner, so none comes twice and no distinct is needed. ``size`` is about
-    the extent of a typical box.
+    the extent of a typical box on each axis.
     """
     named = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     pairs = _cells(left, size, "").join(_cells(named, size, "r_"), ["_c0", "_c1"])
     a, b = Box.named(whole=whole), Box.named("r_", whole=whole)
-    own = [F.floor(F.greatest(F.col(f"lo{i}"), F.col(f"r_lo{i}")) / F.lit(size)).cast("long") == F.col(f"_c{i}") for i in (0, 1)]
+    own = [F.floor(F.greatest(F.col(f"lo{i}"), F.col(f"r_lo{i}")) / F.lit(size[i])).cast("long") == F.col(f"_c{i}") for i in (0, 1)]
     return pairs.where((a.intersects(b) if closed else a.overlaps(b)) & own[0] & own[1]).drop("_c0", "_c1")
 
 

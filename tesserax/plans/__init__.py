@@ -1,7 +1,7 @@
 """Registered queries, by family."""
 
 from . import bytes as sequences
-from . import keyed
+from . import keyed, space
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "keyed", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "keyed", "space", "sequences"]
