@@ -26,7 +26,7 @@ DEFAULT_WEIGHT = 1
 SHARE_PERCENT = 50
 EPOCHS = 2
 SEED = 17
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 256
 MAX_BUCKETS = 65_536
 MAX_BROADCAST_LEAVES = 50_000
 NONE = "(none)"
