@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import prefix_sum
+from .ordered import borders, prefix_sum
 
 
-def committed_end(log: DataFrame) -> DataFrame:
+def committed_end(log: DataFrame, cuts: list | None = None) -> DataFrame:
     """One row: the seq of the last valid commit, null without one."""
+    cuts = borders(log, "seq") if cuts is None else cuts
     first_bad = log.where("bad").agg(F.min("seq").alias("s"))
-    counted = prefix_sum(log, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "pages")
-    commits = prefix_sum(counted.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth")
+    counted = prefix_sum(log, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "pages", cuts=cuts)
+    commits = prefix_sum(counted.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth", cuts=cuts)
     before = commits.select((F.col("nth") + 1).alias("nth"), F.col("pages").alias("was"))
     checked = commits.join(before, "nth", "left").withColumn("wrong", F.col("cnt") != F.col("pages") - F.coalesce("was", F.lit(0)))
     first_wrong = checked.where("wrong").agg(F.min("seq").alias("s"))
@@ -24,9 +25,9 @@ def committed_end(log: DataFrame) -> DataFrame:
     return checked.join(F.broadcast(stop)).where("stop is null or seq < stop").agg(F.max("seq").alias("committed"))
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, cuts: list | None = None) -> DataFrame:
     """(pid, seq, image): the last image of each page up to the last valid commit."""
-    end = committed_end(log)
+    end = committed_end(log, cuts)
     pages = log.where("kind = 'page'").join(F.broadcast(end)).where("seq < committed")
     return pages.groupBy("pid").agg(F.max("seq").alias("seq"), F.max_by("image", "seq").alias("image"))
 

@@ -10,27 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-SAMPLE = 2048
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1024
+SAMPLE_PER_BUCKET = 32
 
 
-def borders(df: DataFrame, key: str, buckets: int = BUCKETS, sample: int = SAMPLE) -> list:
-    """At most ``buckets`` - 1 ascending keys that cut the table into buckets of like size."""
-    rows = df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)
+def borders(df: DataFrame, key: str, buckets: int | None = None) -> list:
+    """Ascending keys that cut the table into at most ``buckets`` parts of like size.
+
+    By default there are as many as shuffles have partitions, within the limits above. The
+    sample, the first keys by hash, is the only thing that comes to the driver.
+    """
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_BUCKET * buckets)
     keys = sorted(r[0] for r in rows.collect())
     return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
 
 def bucket_of(key: Column, cuts: list) -> Column:
-    """How many cuts a key reaches; null keys go first, to bucket 0."""
-    out = F.lit(0)
-    for c in cuts:
-        out = out + F.coalesce((key >= F.lit(c)).cast("int"), F.lit(0))
-    return out
+    """How many cuts a key reaches, by halving; null keys go first, to bucket 0."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(key >= F.lit(cuts[middle]), search(middle + 1, hi)).otherwise(search(lo, middle))
+
+    return F.when(key.isNull(), 0).otherwise(search(0, len(cuts)))
 
 
-def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("_b", bucket_of(F.col(key), borders(df, key, buckets)))
+def bucketed(df: DataFrame, key: str, cuts: list | None = None) -> DataFrame:
+    """``cuts`` from a table with the same keys save a look at this one."""
+    return df.withColumn("_b", bucket_of(F.col(key), borders(df, key) if cuts is None else cuts))
 
 
 def _per_bucket(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -38,9 +49,9 @@ def _per_bucket(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.groupBy("_b").agg(*aggregates)
 
 
-def prefix_sum(df: DataFrame, key: str, value: Column, out: str = "end", ties: tuple[str, ...] = ()) -> DataFrame:
+def prefix_sum(df: DataFrame, key: str, value: Column, out: str = "end", ties: tuple[str, ...] = (), cuts: list | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows up to and with this one."""
-    cut = bucketed(df.withColumn("_v", value), key)
+    cut = bucketed(df.withColumn("_v", value), key, cuts)
     totals = _per_bucket(cut, F.sum("_v").alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))

@@ -350,6 +350,10 @@ LOG = "log as (select event_id as seq, case when event_type = 'purchase' then 'c
 END = f"{LOG}, c as (select seq, kind, sum(case when kind = 'page' then 1 else 0 end) over (order by seq) as pages from log), fin as (select max(seq) as committed from c where kind = 'commit' and seq < (select min(seq) from log where bad))"
 
 
+def log_cuts(t) -> list:
+    return ordered.borders(t.events, "event_id")
+
+
 def log(t) -> DataFrame:
     last = t.events.agg(F.max("event_id").alias("m"))
     base = t.events.join(F.broadcast(last)).select(
@@ -357,8 +361,9 @@ def log(t) -> DataFrame:
         F.concat("event_type", "event_id").alias("image"), (F.col("event_id") == F.expr("m * 9 div 10")).alias("bad"),
     )
     # A commit's count is that of its pages, so that only the planted record is bad.
-    pages = ordered.prefix_sum(base, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "n")
-    commits = ordered.prefix_sum(pages.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth").select("seq", "n", "nth")
+    cuts = log_cuts(t)
+    pages = ordered.prefix_sum(base, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "n", cuts=cuts)
+    commits = ordered.prefix_sum(pages.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth", cuts=cuts).select("seq", "n", "nth")
     before = commits.select((F.col("nth") + 1).alias("nth"), F.col("n").alias("was"))
     counts = commits.join(before, "nth", "left").select("seq", (F.col("n") - F.coalesce("was", F.lit(0))).alias("cnt"))
     return base.join(counts, "seq", "left")
@@ -371,12 +376,12 @@ def _(t):
 
 @query("q_wal_committed_end", f"with {END} select committed from fin")
 def _(t):
-    return journal.committed_end(log(t))
+    return journal.committed_end(log(t), log_cuts(t))
 
 
 @query("q_wal_replay", f"with {END} select pid, max(seq) as seq, arg_max(image, seq) as image from log, fin where kind = 'page' and seq < committed group by pid")
 def _(t):
-    return journal.replay(log(t))
+    return journal.replay(log(t), log_cuts(t))
 
 
 @query("q_wal_crc")
