@@ -99,7 +99,11 @@ def grid_cells(cell: Column, bits: int) -> Column:
 
 
 def _entries(points: DataFrame, bits: int) -> DataFrame:
-    cells = points.withColumn("at", segment_counts(F.col("fp"), bits))
+    # A few MB of points become fifty times as many rows: deal them out first, as a small
+    # exchange would otherwise be merged into a task or two. (By the bare column the planner
+    # would drop the exchange as done already.)
+    dealt = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    cells = dealt.withColumn("at", segment_counts(F.col("fp"), bits))
     return cells.select("fp", F.explode(grid_cells(F.col("at"), bits)).alias("cell")).where("cell is not null")
 
 
