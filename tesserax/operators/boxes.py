@@ -51,6 +51,12 @@ class Box:
     def dims(self) -> int:
         return len(self.low)
 
+    def low_axis(self, axis: int) -> Column:
+        return self.low[axis]
+
+    def high_axis(self, axis: int) -> Column:
+        return self.high[axis]
+
     def valid(self) -> Column:
         return _all([a <= b for a, b in zip(self.low, self.high, strict=True)])
 

@@ -72,3 +72,24 @@ def reached(accept, dims: int, levels: int) -> Column:
         ancestor = tuple(F.when(up > 0, F.call_function("shiftright", F.col(f"c{i}"), up)).otherwise(F.lit(0).cast("long")) for i in range(dims))
         out = out & ((up <= 0) | ~accept(v, ancestor))
     return out
+
+
+def doublings(point: tuple[Column, ...], low: tuple[float, ...], high: tuple[float, ...], most: int = 60) -> Column:
+    """How often a root must double, each axis towards the point, until it holds it; null for a
+    root without extent on some axis."""
+    if any(b <= a for a, b in zip(low, high, strict=True)):
+        return F.lit(None).cast("int")
+    axes = []
+    for p, a, b in zip(point, low, high, strict=True):
+        need = F.when(p > b, p - a).when(p < a, F.lit(b) - p).otherwise(F.lit(0.0))
+        axes.append(F.size(F.filter(F.sequence(F.lit(0), F.lit(most - 1)), _too_small(b - a, need))))
+    return F.greatest(*axes) if len(axes) > 1 else axes[0]
+
+
+def _too_small(width: float, need: Column):
+    return lambda k: F.lit(float(width)) * F.pow(F.lit(2.0), k) < need
+
+
+def can_split(level: Column, extent: Column, least, deepest: int = 32) -> Column:
+    """A cell may be halved above the depth limit while both halves keep the least extent."""
+    return (level < deepest) & (extent / 2 >= least)

@@ -14,6 +14,14 @@ def find(table: DataFrame, key) -> DataFrame:
     return table.where(F.col("k") == F.lit(key))
 
 
+def first(table: DataFrame) -> DataFrame:
+    return table.orderBy("k").limit(1)
+
+
+def last(table: DataFrame) -> DataFrame:
+    return table.orderBy(F.desc("k")).limit(1)
+
+
 def multiget(table: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(table, "k")
 
@@ -64,6 +72,11 @@ def mm_contains(probes: DataFrame, table: DataFrame) -> DataFrame:
     return probes.join(table.select("k"), "k", "left_semi")
 
 
+def mm_insert(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Equal keys stay side by side; the caller numbers ``seq`` after the newest."""
+    return table.unionByName(new)
+
+
 def mm_remove_latest(table: DataFrame, keys: DataFrame) -> DataFrame:
     """One entry less for each key given: the most recent; absent keys change nothing."""
     newest = table.join(keys.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.max("seq").alias("seq"))
@@ -103,6 +116,14 @@ def level_of(key: Column, leaf_base: int, inner_base: int, most: int = 12) -> Co
     return out
 
 
+def most_levels(key_bits: int, leaf_base: int, inner_base: int) -> int:
+    """How many levels the keys of a type need."""
+    rest, levels = ((1 << key_bits) - 1) // leaf_base, 1
+    while rest:
+        rest, levels = rest // inner_base, levels + 1
+    return levels
+
+
 def set_all(table: DataFrame, writes: DataFrame) -> DataFrame:
     """Upsert of ordered writes (k, v, seq): the last write of a key stands."""
     return upsert(table, writes.groupBy("k").agg(F.max_by("v", "seq").alias("v")))

@@ -57,3 +57,29 @@ def reinsert_order(table: DataFrame, group: str, out: str = "place") -> DataFram
     mbr = Box(tuple(F.min(c).over(whole) for c in box.low), tuple(F.max(c).over(whole) for c in box.high), False)
     far = sum(((c - m) * (c - m) for c, m in zip(box.center(), mbr.center(), strict=True)), F.lit(0.0))
     return table.withColumn("_d", far).withColumn(out, F.row_number().over(whole.orderBy(F.desc("_d"), "id"))).drop("_d")
+
+
+def insert(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Boxes and values, duplicates too."""
+    return table.unionByName(new)
+
+
+def with_ids(table: DataFrame, new: DataFrame, out: str = "id") -> DataFrame:
+    """New boxes get ids above all present ones: unique and stable once written, not dense."""
+    top = table.agg(F.coalesce(F.max(out), F.lit(-1)).alias("_m"))
+    return new.withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(top)).withColumn(out, F.col("_m") + 1 + F.col("_i")).drop("_m", "_i")
+
+
+def set_values(table: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """Values by id take the new ones; boxes stay."""
+    return update_boxes(table, new, key, [value])
+
+
+def get(table: DataFrame, key: str, wanted, margin=None, dims: int = 2, whole: bool = True) -> DataFrame:
+    """The entry of an id, with its box as it is or grown by a margin."""
+    hit = table.where(F.col(key) == F.lit(wanted))
+    if margin is None:
+        return hit
+    grown = Box.named(dims=dims, whole=whole).expanded(margin)
+    rest = [c for c in table.columns if c not in {f"{n}{i}" for n in ("lo", "hi") for i in range(dims)}]
+    return hit.select(*rest, *grown.columns())

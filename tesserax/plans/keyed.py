@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import maps, membership, ordered
+from ..operators import chains, maps, membership, ordered, queues
 from .registry import query
 
 KV = "kv as (select o_orderkey as k, o_totalprice as v from orders)"
@@ -166,28 +166,27 @@ def pq(t) -> DataFrame:
 @query("q_pq_push", f"with {PQ} select p, count(*) as n, count(distinct p || cast(d as varchar)) as keys from (select * from pq union all select p, d, k + 1000000, g from pq where k % 10 = 0) group by p")
 def _(t):
     more = pq(t).where("k % 10 = 0").withColumn("k", F.col("k") + 1000000)
-    return pq(t).union(more).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("keys"))
+    return queues.push(pq(t), more).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("keys"))
 
 
 @query("q_pq_top", f"with {PQ} select p, k from pq order by p, d, k limit 1")
 def _(t):
-    return pq(t).orderBy("p", "d", "k").limit(1).select("p", "k")
+    return queues.top(pq(t), "p", "d", "k").select("p", "k")
 
 
 @query("q_pq_pop_k", f"with {PQ} select p, k from pq where k not in (select k from pq order by p, d, k limit 25)")
 def _(t):
-    return pq(t).join(F.broadcast(pq(t).orderBy("p", "d", "k").limit(25).select("k")), "k", "left_anti").select("p", "k")
+    return queues.pop(pq(t), "k", "p", "d", "k", n=25).select("p", "k")
 
 
 @query("q_pq_top_k_per_group", f"with {PQ} select g, k, r from (select *, row_number() over (partition by g order by p, d, k) as r from pq) where r <= 3")
 def _(t):
-    r = F.row_number().over(Window.partitionBy("g").orderBy("p", "d", "k"))
-    return pq(t).withColumn("r", r).where("r <= 3").select("g", "k", F.col("r").cast("long").alias("r"))
+    return queues.top_per_group(pq(t), "g", "p", "d", "k", n=3).select("g", "k", "r")
 
 
 @query("q_pq_count", f"with {PQ} select count(*) as n, count(*) = 0 as is_empty from pq")
 def _(t):
-    return pq(t).agg(F.count(F.lit(1)).alias("n")).withColumn("is_empty", F.col("n") == 0)
+    return queues.size(pq(t))
 
 
 def fifo(t) -> DataFrame:
@@ -199,40 +198,39 @@ FIFO = "fifo as (select user_id as g, event_id as seq, event_type as v from even
 
 @query("q_fifo_enqueue", f"with {FIFO} select g, count(*) as n, max(seq) as newest from (select * from fifo union all select g, seq + 1000000, 'again' from fifo where v = 'error') group by g")
 def _(t):
-    more = fifo(t).where("v = 'error'").select("g", F.col("seq") + 1000000, F.lit("again"))
-    return fifo(t).union(more).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("newest"))
+    more = fifo(t).where("v = 'error'").select("g", (F.col("seq") + 1000000).alias("seq"), F.lit("again").alias("v"))
+    return queues.push(fifo(t), more).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("newest"))
 
 
 @query("q_fifo_front", f"with {FIFO} select g, min(seq) as seq, arg_min(v, seq) as v from fifo group by g")
 def _(t):
-    return fifo(t).groupBy("g").agg(F.min("seq").alias("seq"), F.min_by("v", "seq").alias("v"))
+    return queues.front(fifo(t), "g", "v")
 
 
 @query("q_fifo_dequeue_k", f"with {FIFO} select g, seq, v from (select *, row_number() over (partition by g order by seq) as r from fifo) where r > 2")
 def _(t):
-    return fifo(t).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("seq"))).where("r > 2").drop("r")
+    return queues.dequeue(fifo(t), "g", 2)
 
 
 @query("q_lifo_push", f"with {FIFO} select g, arg_max(v, seq) as top, count(*) as n from (select * from fifo union all select g, 9000000 + g, 'pushed' from fifo group by g) group by g")
 def _(t):
-    more = fifo(t).select("g").distinct().select("g", F.col("g") + 9000000, F.lit("pushed"))
-    return fifo(t).union(more).groupBy("g").agg(F.max_by("v", "seq").alias("top"), F.count(F.lit(1)).alias("n"))
+    more = fifo(t).select("g").distinct().select("g", (F.col("g") + 9000000).alias("seq"), F.lit("pushed").alias("v"))
+    return queues.push(fifo(t), more).groupBy("g").agg(F.max_by("v", "seq").alias("top"), F.count(F.lit(1)).alias("n"))
 
 
 @query("q_lifo_top", f"with {FIFO} select g, max(seq) as seq, arg_max(v, seq) as v from fifo group by g")
 def _(t):
-    return fifo(t).groupBy("g").agg(F.max("seq").alias("seq"), F.max_by("v", "seq").alias("v"))
+    return queues.newest(fifo(t), "g", "v")
 
 
 @query("q_lifo_pop_k", f"with {FIFO} select g, seq, v from (select *, row_number() over (partition by g order by seq desc) as r from fifo) where r > 2")
 def _(t):
-    return fifo(t).withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("seq")))).where("r > 2").drop("r")
+    return queues.pop_newest(fifo(t), "g", 2)
 
 
 @query("q_lifo_scan", f"with {FIFO} select g, seq, v, row_number() over (partition by g order by seq) as pos from fifo")
 def _(t):
-    pos = F.row_number().over(Window.partitionBy("g").orderBy("seq"))
-    return fifo(t).withColumn("pos", pos.cast("long"))
+    return queues.scan(fifo(t), "g")
 
 
 # Chains: records on pages of 64, with soft deletes.
@@ -246,28 +244,27 @@ def chain(t) -> DataFrame:
 
 @query("q_chain_mark_tombstones", f"with {CHAIN} select page, slot, v = 'error' as deleted from chain")
 def _(t):
-    return chain(t).select("page", "slot", (F.col("v") == "error").alias("deleted"))
+    return chains.mark_tombstones(chain(t), F.col("v") == "error").select("page", "slot", "deleted")
 
 
 @query("q_chain_purge", f"with {CHAIN} select page, count(*) filter (v <> 'error') as alive, count(*) filter (v = 'error') as purged from chain group by page")
 def _(t):
-    return chain(t).groupBy("page").agg(F.count_if(F.col("v") != "error").alias("alive"), F.count_if(F.col("v") == "error").alias("purged"))
+    return chains.purged(chains.mark_tombstones(chain(t), F.col("v") == "error"))
 
 
 @query("q_chain_purge_page", f"with {CHAIN} select page, slot, v from chain where not (v = 'error' and page = 3)")
 def _(t):
-    return chain(t).where(~((F.col("v") == "error") & (F.col("page") == 3))).select("page", "slot", "v")
+    return chains.purge(chains.mark_tombstones(chain(t), F.col("v") == "error"), 3).select("page", "slot", "v")
 
 
 @query("q_chain_remove_if", f"with {CHAIN} select page, slot, value from chain where not value > 50")
 def _(t):
-    return chain(t).where(~(F.col("value") > 50)).select("page", "slot", "value")
+    return chains.remove_if(chain(t), F.col("value") > 50).select("page", "slot", "value")
 
 
 @query("q_chain_reverse", f"with {CHAIN} select page, slot, v, row_number() over (order by page desc, slot desc) as pos from chain")
 def _(t):
-    down = chain(t).withColumn("_p", -F.col("page")).withColumn("_s", -F.col("slot"))
-    return ordered.rank(down, "_p", "pos", ("_s",)).select("page", "slot", "v", "pos")
+    return chains.reverse(chain(t)).select("page", "slot", "v", "pos")
 
 
 @query(
@@ -275,10 +272,10 @@ def _(t):
     f"with {CHAIN}, pages as (select distinct page, page * 2 as place from chain), spliced as (select page, place from pages union all select page + 100000, place - 1 from pages where page % 5 = 0 union all select page + 200000, place + 1 from pages where page % 5 = 2) select page, row_number() over (order by place, page) as pos from spliced",
 )
 def _(t):
-    pages = chain(t).select("page").distinct().withColumn("at", F.col("page") * 2)
-    before = pages.where("page % 5 = 0").select(F.col("page") + 100000, F.col("at") - 1)
-    after = pages.where("page % 5 = 2").select(F.col("page") + 200000, F.col("at") + 1)
-    return ordered.rank(pages.union(before).union(after), "at", "pos", ("page",)).select("page", "pos")
+    pages = chain(t).select("page").distinct().withColumn("place", F.col("page"))
+    before = pages.where("page % 5 = 0").select((F.col("page") + 100000).alias("page"), F.col("page").alias("near"))
+    after = pages.where("page % 5 = 2").select((F.col("page") + 200000).alias("page"), F.col("page").alias("near"))
+    return chains.splice(pages, before, after)
 
 
 # Bit sets and Bloom filters.

@@ -307,9 +307,8 @@ def _(t):
 
 @query("q_ot_root_growth", "select c_custkey as id, len(list_filter(range(0, 40), lambda k: 100.0 * (1::bigint << k) < case when c_acctbal > 100 then c_acctbal when c_acctbal < 0 then 100 - c_acctbal else 0 end))::bigint as doublings from customer")
 def _(t):
-    need = F.when(F.col("c_acctbal") > 100, F.col("c_acctbal")).when(F.col("c_acctbal") < 0, 100 - F.col("c_acctbal")).otherwise(0.0)
-    steps = F.filter(F.sequence(F.lit(0), F.lit(39)), lambda k: F.lit(100.0) * F.pow(F.lit(2.0), k) < need)
-    return t.customer.select(F.col("c_custkey").alias("id"), F.size(steps).cast("long").alias("doublings"))
+    steps = cells.doublings((F.col("c_acctbal"),), (0.0,), (100.0,), 40)
+    return t.customer.select(F.col("c_custkey").alias("id"), steps.cast("long").alias("doublings"))
 
 
 def _seen(v: int, at) -> object:
