@@ -48,6 +48,7 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert
 DROP_WORDS = frozenset(
     "nav navbar navigation navigator menu submenu breadcrumb breadcrumbs masthead topbar toolbar header pageheader siteheader footer pagefooter sitefooter sidebar sidenav aside rail ad ads adbox adslot advert adverts advertisement advertising advertorial adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay lightbox subscribe subscription newsletter signup login share sharing sharebar social socials comment comments commentlist disqus replies reply respond related recommended recommendations recirculation trending pagination pager skiplink copyright disclaimer searchbox searchform form widget widgets".split()
 )
+DROP_STARTS = ("sidebar", "cookie", "newsletter", "navbar", "breadcrumb", "advert", "sponsor", "subscrib", "commentlist", "commentform", "commentsection")
 NEGATORS = frozenset("has with no without after before in".split())
 ARTICLE_CONTAINERS = frozenset("div section ul ol dl table center figure details".split())
 
@@ -81,7 +82,7 @@ def _dropped(tag: str, rest: str, inside: bool) -> tuple[bool, bool]:
                 seen[name] = html.unescape(value.strip("\"'"))
     role = seen.get("role", "").lower()
     words = [w.lower() for key in ("class", "id") for w in _WORD.findall(seen.get(key, ""))]
-    named = any(w in DROP_WORDS and (not i or words[i - 1] not in NEGATORS) for i, w in enumerate(words))
+    named = any((w in DROP_WORDS or w.startswith(DROP_STARTS)) and (not i or words[i - 1] not in NEGATORS) for i, w in enumerate(words))
     hidden = "hidden" in seen or "display:none" in seen.get("style", "").replace(" ", "").lower()
     if tag in ("article", "main") or role in ("main", "article"):
         return named and tag == "article" or hidden, True
@@ -151,25 +152,30 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
         node = child
 
     for n in nodes:  # parents come before children
-        n.gone = n.up.gone or n.drop and (n.article or not n.holds)
+        n.gone = n.up.gone or n.drop
         n.top = n.up.top if n.up.top is not None and (n.up.top.tag == "article" or not n.article or n.tag != "article") else n if n.article else None
+    if not any(n.top is not None and not n.gone and piece and not piece.isspace() for n, piece in texts):
+        # No article is left: an element around one stays, whatever it is called.
+        for n in nodes:
+            n.gone = n.up.gone or n.drop and (n.article or not n.holds)
     blocks: list[list] = []
-    fresh, has_article, has_main = True, False, False
+    fresh = True
     for n, piece in texts:
         if piece is None:
             fresh = True
         elif not n.gone:
-            if n.top is not None and piece.strip():
-                has_article, has_main = has_article or n.top.tag == "article", True
             if fresh or not blocks:
                 blocks.append([n, n.top, [piece]])
                 fresh = False
             else:
                 blocks[-1][2].append(piece)
                 blocks[-1][1] = blocks[-1][1] or n.top
-    if has_article:
+    # Articles in a main part are its text unless they are the smaller part of it (teasers).
+    sizes = [(b[1].tag, sum(len(p) for p in b[2] if not p.isspace())) for b in blocks if b[1] is not None]
+    own, wide = sum(n for tag, n in sizes if tag == "article"), sum(n for _, n in sizes)
+    if own and 2 * own >= wide:
         blocks = [b for b in blocks if b[1] is not None and b[1].tag == "article"]
-    elif has_main:
+    elif wide:
         blocks = [b for b in blocks if b[1] is not None]
     kept = []
     for n, art, pieces in blocks:

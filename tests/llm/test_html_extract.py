@@ -31,6 +31,10 @@ CASES = {
     "<article>a<br></article></nav></div><p>": "a",
     "<ARTICLE>Up<SCRIPT>x</SCRIPT></ARTICLE>": "Up",
     "<p>a&nbsp;&nbsp;b c</p>": "a b c",
+    "<div class='commentsection'>c</div><aside>s</aside><p class=commentary>kept</p><div class='cookiebar'>n</div>": "kept",
+    "<main><h2>H</h2><p>a</p><section class='related-posts'><article class=card>r</article></section></main><article class='comment'>c</article>": "H a",
+    "<main><p>the long text of the main part</p><article>short</article></main>": "the long text of the main part short",
+    "<main><p>intro</p><article>the long text of the article</article></main>": "the long text of the article",
     "<div class=readerComments>c</div><div class='cookieNotice'>n</div>t": "t",
 }
 
