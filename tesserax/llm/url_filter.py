@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize
@@ -143,8 +143,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = T
     """Boosted trees of logistic loss from labelled URLs (url, label 0 or 1).
 
     At most ``max_labelled`` rows are used, first by a hash of the URL. Each level of a tree
-    is one aggregation over feature bins; only the best split of each node (at most
-    2 ** depth rows) comes to the driver. Null URLs and labels are passed over; without both
+    is one aggregation over feature bins; its histogram (nodes times features times bins,
+    whatever the number of rows) comes to the driver, which picks the splits. Null URLs and labels are passed over; without both
     labels the model is the base rate.
     """
     known = (seed_urls(spark) if labelled is None else labelled).select("url", F.col("label").cast("int").alias("label")).where("url is not null and label in (0, 1)")
@@ -158,6 +158,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = T
     table = materialize(spark, known.select("label", *(v.alias(k) for k, v in features(F.col("url"), statistics).items())).coalesce(1), "labelled")
     cuts = table.agg(*(F.percentile_approx(k, [i / bins for i in range(1, bins)], 10_000).alias(k) for k in names)).first().asDict()
     cuts = {k: sorted(set(v)) for k, v in cuts.items()}
+    bins_of = F.array(*(F.struct(F.lit(k).alias("f"), _exceeded(v, k).alias("b")) for k, v in cuts.items()))
+    table = materialize(spark, table.withColumn("_bins", bins_of).coalesce(1), "binned")
     columns = {k: F.col(k) for k in names}
     model = Model(statistics, base, [])
     for _ in range(trees):
@@ -169,27 +171,41 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = T
 
 
 def _exceeded(cuts: list[float], column: str) -> Column:
+    """How many cuts a value exceeds: its bin."""
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column)))
 
 
+def _best_splits(histogram: list, cuts: dict[str, list[float]], least: int) -> dict[int, tuple]:
+    """Of each node, the (feature, bin, low sums, high sums) with the largest gain; ties go by name."""
+    sides: dict[tuple[int, str], dict[int, tuple]] = {}
+    for r in histogram:
+        sides.setdefault((r._n, r.f), {})[r.b] = (r.g, r.h, r.c)
+    best: dict[int, tuple] = {}
+    for (n, f), bins in sorted(sides.items()):
+        total = [sum(v[i] for v in bins.values()) for i in range(3)]
+        low = [0.0, 0.0, 0]
+        for b in range(len(cuts[f])):
+            low = [a + v for a, v in zip(low, bins.get(b, (0.0, 0.0, 0)), strict=True)]
+            high = [t - a for t, a in zip(total, low, strict=True)]
+            if min(low[2], high[2]) >= least:
+                gain = low[0] ** 2 / (low[1] + 1) + high[0] ** 2 / (high[1] + 1) - total[0] ** 2 / (total[1] + 1)
+                if gain > 1e-6 and (n not in best or gain > best[n][0] + 1e-9):
+                    best[n] = (gain, f, b, tuple(low[:2]), tuple(high[:2]))
+    return {n: v[1:] for n, v in best.items()}
+
+
 def _grow(table: DataFrame, model: Model, columns: dict[str, Column], cuts: dict[str, list[float]], depth: int, rate: float, least: int):
     p = 1 / (1 + F.exp(-model.margin(columns)))
     rows = table.select("*", (F.col("label") - p).alias("_g"), (p * (1 - p)).alias("_h"))
     nodes: dict[int, tuple | float] = {}
     place: Column = F.lit(1)
     for level in range(depth):
-        # How many cuts a value exceeds is its bin.
-        bins = F.array(*(F.struct(F.lit(k).alias("f"), _exceeded(v, k).alias("b")) for k, v in cuts.items()))
-        sums = rows.withColumn("_n", place).where(f"_n >= {1 << level}").select("_n", "_g", "_h", F.explode(bins).alias("x"))
-        sums = sums.groupBy("_n", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("c"))
-        along, whole = Window.partitionBy("_n", "f").orderBy("b"), Window.partitionBy("_n", "f")
-        sums = sums.select("_n", "f", "b", *(F.sum(x).over(along).alias(x) for x in "ghc"), *(F.sum(x).over(whole).alias(x.upper() * 2) for x in "ghc"))
-        gain = F.col("g") ** 2 / (F.col("h") + 1) + (F.col("gg") - F.col("g")) ** 2 / (F.col("hh") - F.col("h") + 1) - F.col("gg") ** 2 / (F.col("hh") + 1)
-        best = Window.partitionBy("_n").orderBy(F.desc(F.round("gain", 9)), "f", "b")
-        found = sums.withColumn("gain", F.when(F.least("c", F.col("cc") - F.col("c")) >= least, gain).otherwise(-1.0)).withColumn("_k", F.row_number().over(best)).where("_k = 1").collect()
-        for r in found:
-            if r.gain > 1e-6 and r.b < len(cuts[r.f]):
-                nodes[r._n] = (r.f, cuts[r.f][r.b], rate * r.g / (r.h + 1), rate * (r.GG - r.g) / (r.HH - r.h + 1))
+        sums = rows.withColumn("_n", place).where(f"_n >= {1 << level}").select("_n", "_g", "_h", F.explode("_bins").alias("x"))
+        # At most 2 ** level nodes times the features times the bins: a few thousand rows.
+        found = sums.groupBy("_n", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("c")).collect()
+        for n, split in _best_splits(found, cuts, least).items():
+            f, b, (g, h), (gg, hh) = split
+            nodes[n] = (f, cuts[f][b], rate * g / (h + 1), rate * gg / (hh + 1))
         # Rows of a node that split move to its children; others rest at node 0.
         moved = F.lit(0)
         for k, (f, cut, _, _) in nodes.items():

@@ -20,7 +20,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if hs and 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def slow_components(rows):
+def slow_groups(rows):
     fps = [slow_fingerprint(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
@@ -28,6 +28,11 @@ def slow_components(rows):
             if bin(fps[i] ^ fps[j]).count("1") <= 2 and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
+    return fps, group
+
+
+def slow_components(rows):
+    fps, group = slow_groups(rows)
     ids = [min((rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
     return sorted(((r[0], f, c) for r, f, c in zip(rows, fps, ids)), key=str)
 
@@ -81,7 +86,8 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, n int")
     kept = simhash.keep_one(spark, df)
     assert kept.columns == ["text", "doc_id", "n"]
-    got = sorted((r.doc_id if r.doc_id is not None else -1 for r in kept.collect()))
-    groups = {c for _, _, c in slow_components(rows)}
-    assert len(got) == len(set(got))
-    assert set(got) == {c for c in groups if c is not None}
+    fps, group = slow_groups(rows)
+    first = {}
+    for g, (i, _) in zip(group, rows):
+        first[g] = min(first.get(g, 1 << 62), 1 << 62 if i is None else i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
