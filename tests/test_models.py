@@ -2,11 +2,10 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tesserax.functions import scalars
-from tesserax.operators import cells, freespace, journal, maps, membership, ordered, runs, sequences, trees
+from tesserax.operators import cells, chains, freespace, journal, maps, membership, ordered, queues, runs, sequences, spatial, trees
 
 
 def rows(df, *by):
@@ -155,3 +154,52 @@ def test_compare(spark):
     assert [r.o for r in df.select(scalars.compare(F.col("a"), F.col("b")).alias("o")).collect()] == ["eq", "unordered", "lt", "gt", "eq"]
     pair = spark.createDataFrame([("hello world", "hello zig"), ("", "x"), ("é", "è")], "a string, b string")
     assert [tuple(r) for r in pair.select(runs.shared_prefix(F.col("a"), F.col("b")), scalars.common_bytes(F.col("a"), F.col("b"))).collect()] == [(6, 6), (0, 0), (0, 1)]
+
+
+def test_queues(spark):
+    q = spark.createDataFrame([(0, "first"), (1, "second"), (2, "third")], "seq long, v string").withColumn("g", F.lit(1))
+    assert queues.front(q, "g", "v").first().v == "first" and queues.front(queues.dequeue(q, "g", 2), "g", "v").first().v == "third"
+    assert queues.newest(q, "g", "v").first().v == "third" and queues.newest(queues.pop_newest(q, "g", 2), "g", "v").first().v == "first"
+    assert [r.v for r in queues.scan(q, "g").orderBy("pos").collect()] == ["first", "second", "third"]
+    more = queues.next_seq(q, spark.createDataFrame([("b",), ("a",)], "v string"), F.col("v"))
+    assert rows(more.select("seq", "v"), "seq") == [(3, "a"), (4, "b")]
+    assert rows(queues.next_seq(q.limit(0), more.select("v"), F.col("v")).select("seq"), "seq") == [(0,), (1,)]
+    keys = spark.createDataFrame([("0001",), ("0001",), ("0001",), ("02",)], "k string")
+    assert queues.size(queues.push(keys, keys)).first().n == 8 and queues.key_violations(keys, "k", 4).count() == 1
+    assert queues.top(keys.limit(0), "k").count() == 0
+
+
+def test_heap_model(spark):
+    rng = random.Random(5)
+    batch = [(f"{rng.randrange(10_000):04d}", i) for i in range(400)]
+    q = spark.createDataFrame(batch, "k string, i long")
+    for n in (1, 7, 100):
+        assert rows(queues.pop(q, "i", "k", "i", n=n).select("k", "i"), "k", "i") == sorted(batch)[n:]
+        assert rows(queues.top(q, "k", "i", n=n), "k", "i") == sorted(batch)[:n]
+
+
+def test_chains_and_ids(spark):
+    pages = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "page long, place long")
+    near = lambda *r: spark.createDataFrame(list(r), "page long, near long")
+    assert [r[0] for r in rows(chains.splice(pages, near((9, 2)), near((8, 3), (7, 2))), "pos")] == [1, 9, 2, 7, 3, 8]
+    assert rows(chains.unlink(pages, pages.where("page = 2")), "page") == [(1, 0), (3, 2)]
+    boxes = spark.createDataFrame([(4, 0, 1, 0, 1, "a"), (7, 2, 3, 2, 3, "b")], "id long, lo0 long, hi0 long, lo1 long, hi1 long, v string")
+    fresh = spatial.with_ids(boxes, boxes.drop("id"))
+    ids = [r.id for r in fresh.collect()]
+    assert len(set(ids)) == 2 and min(ids) > 7
+    assert rows(spatial.set_values(boxes, spark.createDataFrame([(7, "new"), (9, "none")], "id long, v string"), "id", "v").select("id", "lo0", "v"), "id") == [(4, 0, "a"), (7, 2, "new")]
+    assert tuple(spatial.get(boxes, "id", 7, 2).select("id", "lo0", "hi1").first()) == (7, 0, 5)
+    assert rows(maps.mm_insert(pages, pages.where("page = 1")).groupBy("page").count(), "page")[0] == (1, 2)
+
+
+def test_levels_and_growth(spark):
+    assert [maps.most_levels(b, 128, 256) for b in (7, 8, 15, 16, 32)] == [1, 2, 2, 3, 5]
+    grow = lambda x, y: spark.range(1).select(cells.doublings((F.lit(x), F.lit(y)), (0.0, 0.0), (1.0, 1.0)).alias("n")).first().n
+    assert [grow(0.5, 0.5), grow(1.5, 0.5), grow(-1.5, 0.0), grow(4.0, 0.0), grow(4.1, -1.0)] == [0, 1, 2, 2, 3]
+    assert spark.range(1).select(cells.doublings((F.lit(1.0),), (0.0,), (0.0,)).alias("n")).first().n is None
+    assert [r.x for r in spark.range(3).select(cells.can_split(F.col("id"), F.lit(4.0), 2.0, 2).alias("x")).collect()] == [True, True, False]
+
+
+def test_many_logs(spark):
+    log = spark.createDataFrame([("a", 0, "page", 1, "x", False), ("a", 1, "commit", None, None, False), ("a", 2, "page", 1, "y", False), ("b", 0, "page", 1, "z", True), ("b", 1, "commit", None, None, False)], "g string, seq long, kind string, pid long, image string, bad boolean")
+    assert [tuple(r) for r in journal.by_commit(log, "g").collect()] == [("a", 1, "x")]

@@ -100,3 +100,13 @@ def test_log_folder(spark, tmp_path):
     for seq in (0, 1):
         logs.append(spark.createDataFrame([(seq, "page", 1, "i", None, False)], logs.SCHEMA), path)
     assert logs.read(spark, path).count() == 2 and logs.follow(spark, path).isStreaming
+
+
+def test_windowed_counts_with_lateness(spark, tmp_path):
+    at = f"file:{tmp_path}/events"
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' event_type union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:10:00', 'b'")
+    rows.write.parquet(at)
+    stream = latest.counts_by_window(spark.readStream.schema(rows.schema).parquet(at))
+    q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.event_type, r.n) for r in spark.table("counted").collect()) == [("a", 2), ("b", 1)]
