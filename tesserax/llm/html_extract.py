@@ -14,10 +14,11 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize
+from .url_filter import host
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
@@ -200,12 +201,6 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], int]:
     return found, xxhash.xxh3_64_intdigest("\x1f".join(root.parts)) >> 1
 
 
-def host_of(url: Column) -> Column:
-    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def parsed(pages: DataFrame) -> DataFrame:
     """One row per page: its blocks, and whether any of them lies in a subtree that may be a template."""
     block = pa.list_(pa.struct([("t", pa.string()), ("h", pa.list_(pa.int64()))]))
@@ -218,7 +213,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 [*b.columns[:3], blocks, pa.array([r[1] for r in rows], pa.int64()), pa.array([any(h for _, h in r[0]) for r in rows], pa.bool_())], names=["page_id", "url", "host", "blocks", "body", "open"]
             )
 
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<t: string, h: array<long>>>, body long, open boolean")
 
 
