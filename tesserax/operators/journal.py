@@ -14,15 +14,20 @@ from .ordered import borders, prefix_sum
 
 def committed_end(log: DataFrame, cuts: list | None = None) -> DataFrame:
     """One row: the seq of the last valid commit, null without one."""
+    batches = commits(log, cuts)
+    stop = batches.agg(F.min(F.least("first_bad", F.when(F.col("cnt") != F.col("pages"), F.col("seq")))).alias("stop"))
+    return batches.where("seq is not null").join(F.broadcast(stop)).where("stop is null or seq < stop").agg(F.max("seq").alias("committed"))
+
+
+def commits(log: DataFrame, cuts: list | None = None) -> DataFrame:
+    """(batch, seq, cnt, pages, first_bad): the records up to and with each commit; those
+    after the last one have a null seq."""
     cuts = borders(log, "seq") if cuts is None else cuts
-    first_bad = log.where("bad").agg(F.min("seq").alias("s"))
-    counted = prefix_sum(log, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "pages", cuts=cuts)
-    commits = prefix_sum(counted.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth", cuts=cuts)
-    before = commits.select((F.col("nth") + 1).alias("nth"), F.col("pages").alias("was"))
-    checked = commits.join(before, "nth", "left").withColumn("wrong", F.col("cnt") != F.col("pages") - F.coalesce("was", F.lit(0)))
-    first_wrong = checked.where("wrong").agg(F.min("seq").alias("s"))
-    stop = first_bad.union(first_wrong).agg(F.min("s").alias("stop"))
-    return checked.join(F.broadcast(stop)).where("stop is null or seq < stop").agg(F.max("seq").alias("committed"))
+    commit = F.col("kind") == "commit"
+    counted = prefix_sum(log, "seq", commit.cast("long"), "_nth", cuts=cuts).withColumn("batch", F.col("_nth") - commit.cast("long"))
+    return counted.groupBy("batch").agg(
+        F.max(F.when(commit, F.col("seq"))).alias("seq"), F.max(F.when(commit, F.col("cnt"))).alias("cnt"), F.count_if(F.col("kind") == "page").alias("pages"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"),
+    )
 
 
 def replay(log: DataFrame, cuts: list | None = None) -> DataFrame:

@@ -361,11 +361,8 @@ def log(t) -> DataFrame:
         F.concat("event_type", "event_id").alias("image"), (F.col("event_id") == F.expr("m * 9 div 10")).alias("bad"),
     )
     # A commit's count is that of its pages, so that only the planted record is bad.
-    cuts = log_cuts(t)
-    pages = ordered.prefix_sum(base, "seq", F.when(F.col("kind") == "page", 1).otherwise(0).cast("long"), "n", cuts=cuts)
-    commits = ordered.prefix_sum(pages.where("kind = 'commit'"), "seq", F.lit(1).cast("long"), "nth", cuts=cuts).select("seq", "n", "nth")
-    before = commits.select((F.col("nth") + 1).alias("nth"), F.col("n").alias("was"))
-    counts = commits.join(before, "nth", "left").select("seq", (F.col("n") - F.coalesce("was", F.lit(0))).alias("cnt"))
+    own = journal.commits(base.withColumn("cnt", F.lit(None).cast("long")), log_cuts(t))
+    counts = own.where("seq is not null").select("seq", F.col("pages").alias("cnt"))
     return base.join(counts, "seq", "left")
 
 
