@@ -21,7 +21,6 @@ from .runtime import materialize
 from .url_filter import host
 
 MIN_PAGES = 5
-MIN_SHARE = 0.2
 SALTS = 16
 
 #: Fixed by HTML: elements whose content is no markup, elements without content, blocks.
@@ -217,19 +216,21 @@ def parsed(pages: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<t: string, h: array<long>>>, body long, open boolean")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, gone): the hashes of subtrees in many different pages of a host.
 
-    Pages with equal bodies count once, so copies of a page are no template. The list per
-    host is short: at most 1 / ``min_share`` times the subtrees of one page.
+    Many are ``min_pages`` and the square root of the host's pages: on a large host, rotating
+    boilerplate has a small share of the pages. Pages with equal bodies count once, so copies
+    of a page are no template. The list per host has at most that root times the subtrees of
+    one page.
     """
     subtrees = pages.where("open").select("host", "body", F.explode(F.array_distinct(F.flatten("blocks.h"))).alias("h")).distinct()
     often = subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     size = pages.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
-    return often.join(size, "host").where(F.col("n") >= min_share * F.col("bodies")).groupBy("host").agg(F.collect_list("h").alias("gone"))
+    return often.join(size, "host").where(F.col("n") * F.col("n") >= F.col("bodies")).groupBy("host").agg(F.collect_list("h").alias("gone"))
 
 
-def main_text(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html).
 
     A null or empty html, and a page that is all template, have the empty text. A null url
@@ -238,11 +239,13 @@ def main_text(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES,
     """
     found = materialize(spark, parsed(pages), "pages")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    gone = templates(found, min_pages, min_share).select("host", "gone", salts.alias("salt"))
+    gone = templates(found, min_pages).select("host", "gone", salts.alias("salt"))
     # A host may hold a third of all pages: its pages spread over the salts.
     watched = found.where("open").withColumn("salt", F.pmod(F.xxhash64("page_id", "body"), F.lit(SALTS)).cast("int")).join(gone, ["host", "salt"], "left")
     text = lambda keep: F.array_join(F.transform(keep, lambda b: b["t"]), " ")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["h"], F.coalesce("gone", F.array().cast("array<long>"))))
+    # The host's list is gone through once per page, not once per block.
+    watched = watched.withColumn("hit", F.array_intersect(F.flatten("blocks.h"), F.coalesce("gone", F.array().cast("array<long>"))))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["h"], F.col("hit")))
     whole = found.where("not open").select("page_id", "url", text(F.col("blocks")).alias("text"))
     out = whole.union(watched.select("page_id", "url", text(left).alias("text")))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -66,3 +66,10 @@ def test_site_templates_go_and_copies_stay(spark):
     assert all(got[200 + i].text == f"shared passage own {i}" for i in range(30))
     assert (got[300].text, got[301].text, got[301].n_chars, got[None].text) == ("no url", "", 0, "")
     assert main_text(spark, df.limit(0)).count() == 0
+
+
+def test_rotating_boilerplate_of_a_large_host_goes(spark):
+    # Each advert is on 20 of 200 pages: a tenth of the host.
+    rows = [(i, f"http://big.example/{i}", f"<div><p>Deal {i % 10} of the week</p></div><div><p>own {i} words</p></div>") for i in range(200)]
+    got = main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"own {i} words") for i in range(200)]
