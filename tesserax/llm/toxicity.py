@@ -296,15 +296,19 @@ def held_out(id_col: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Model:
     """Fit on labelled rows outside the held-out fifth: per label the ``max_labelled`` rows
     that come first by a hash of their id, as long as they have ``max_chars`` characters or
-    fewer together. Rows with a null id or label teach nothing; of rows that repeat an id the
-    first text in order is taken. Texts are whole."""
+    fewer together. Texts over ``max_chars`` / 64 come after all others, shorter ones first, so
+    that one long text takes no place of others; a label's first text always counts, and only
+    that is cut, if it alone is over ``max_chars``. Rows with a null id or label teach nothing; of rows that repeat an id the
+    first text in order is taken."""
     known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("k"))).withColumn("o", F.xxhash64("k"))
     pick = known.where("y = 1").orderBy("o", "k").limit(max_labelled).union(known.where("y = 0").orderBy("o", "k").limit(max_labelled))
     found = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(pick.distinct()), "k")
     found = found.groupBy("k", "y", "o").agg(F.min("t").alias("t"))
-    length = F.sum(F.length("t").cast("long")).over(Window.partitionBy("y").orderBy("o", "k"))
-    found = found.withColumn("_c", length).where(F.col("_c") <= max_chars).select("k", "t", "y")
+    n = F.length("t").cast("long")
+    order = Window.partitionBy("y").orderBy(F.when(n * 64 > max_chars, n).otherwise(F.lit(0)), "o", "k")
+    found = found.withColumn("_c", F.sum(n).over(order)).withColumn("_r", F.row_number().over(order)).where((F.col("_c") <= max_chars) | (F.col("_r") == 1))
+    found = found.select("k", F.substring("t", 1, max_chars).alias("t"), "y")
 
     def run(batches):
         rows = sorted((k, t, y) for b in batches for k, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))

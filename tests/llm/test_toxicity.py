@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserax.llm import toxicity as tox
 
@@ -76,3 +77,18 @@ def test_one_sided_labels_and_empty_tables(spark):
         model = tox.train(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert tox.score(spark, docs, model).count() == 2
     assert tox.score(spark, docs.limit(0), model).count() == 0
+
+
+def test_a_long_labelled_text_leaves_the_others_in_the_sample(spark):
+    ids = [r.id for r in spark.range(100).where(~tox.held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(40).collect()]
+    rows = [(i, f"you idiot {i}" if n % 2 else f"a calm day {i}", n % 2) for n, i in enumerate(ids)]
+    rows[1] = (ids[1], "you idiot " * 300, 1)  # the first of its label
+
+    def same(rows, want):
+        got = tox.train(spark, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), max_chars=2000)
+        want = tox.fit([t for _, t, _ in sorted(want)], [y for _, _, y in sorted(want)])
+        return got.weights.tobytes() == want.weights.tobytes() and got.bias == want.bias
+
+    assert same(rows, rows[:1] + rows[2:])
+    alone = [r for r in rows if not r[2]] + [rows[1]]
+    assert same(alone, alone[:-1] + [(ids[1], rows[1][1][:2000], 1)])
