@@ -61,6 +61,23 @@ def test_trees_learn_and_score_as_walked(spark):
     assert sum((r.m >= 0) == r.label for r in rows) / len(rows) > 0.93
 
 
+def test_families_left_out_of_training(spark):
+    left = ("gambling", "phishing", "news", "code")
+    known = uf.seed_urls(spark, 6000)
+    model = uf.train(spark, known.where(~F.col("family").isin(*left)))
+    score = 1 / (1 + F.exp(-model.margin(uf.features(F.col("url"), model.statistics))))
+    rows = known.where(F.col("family").isin(*left)).select("family", (score >= 0.5).alias("block")).collect()
+    share = {f: sum(r.block for r in rows if r.family == f) / sum(r.family == f for r in rows) for f in left}
+    assert min(share["gambling"], share["phishing"]) > 0.6 and max(share["news"], share["code"]) < 0.15, share
+
+
+def test_urls_of_other_grammars(spark):
+    urls = {"http://gambling.example.com/": "block", "https://k3j4h5k3j4h.top/a/b/x.exe": "block", "https://my-own-blog.org/": "allow", "https://free-press.example.com/": "allow", "https://en.wikipedia.org/wiki/Spark": "allow"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in uf.judge(df, uf.train(spark)).collect()}
+    assert [got[i] for i in range(len(urls))] == list(urls.values())
+
+
 def test_one_sided_labels(spark):
     for rows in ([], [("http://a.com/", 1)], [(None, 1), ("http://b.com", None)]):
         model = uf.train(spark, spark.createDataFrame(rows, "url string, label int"))
