@@ -40,37 +40,50 @@ MAX_LABELLED = 4000
 MAX_CHARS = 32_000_000
 MAX_NEGATIVE_STRINGS = 16_000
 ROUNDS = 3
+#: Chosen by folds inside the rows that are not held out: ``tests/llm/choose_toxicity.py``.
 POSITIVE_COST = 60.0
 NEGATIVE_COST = 30.0
+RIDGE = 0.3
 SEED = 11
 CACHE = 400_000
 FLOOR = -1.0
 
-#: Letters that subsequences are made of; all other characters only widen gaps.
+#: Letters that have a place of their own in subsequences. Letters and digits of all other
+#: scripts share ``OTHERS`` places by their code points; any other character only widens gaps.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöøœùúûüÿ0123456789"
-SIZE = len(LETTERS) + 1
-_CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
+OTHERS = 18
+SIZE = len(LETTERS) + OTHERS + 1
+
+
+class _Codes(dict):
+    def __missing__(self, c: str) -> int:
+        self[c] = code = len(LETTERS) + 1 + ord(c) % OTHERS if c.isalnum() else 0
+        return code
+
+
+_CODE = _Codes({c: i + 1 for i, c in enumerate(LETTERS)})
 _SENTENCE = re.compile(r"[.!?]+\s|\n+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def strings(text: str) -> list[str]:
     """The strings of a text: its words in lower case without outer punctuation, runs of
-    three or more single letters as one, and overlapping windows of longer words."""
+    three or more single letters as one (words of punctuation alone don't end a run), and
+    overlapping windows of longer words."""
     out, run = [], []
     for word in text.lower().split():
         word = word.strip(_EDGE)
-        if len(word) == 1:
+        if len(word) <= 1:
             run.append(word)
             continue
         if run:
-            if len(run) >= LENGTH:
-                out.append("".join(run))
+            if len(joined := "".join(run)) >= LENGTH:
+                out.append(joined)
             run = []
         if len(word) >= LENGTH:
             out.append(word)
-    if len(run) >= LENGTH:
-        out.append("".join(run))
+    if len(joined := "".join(run)) >= LENGTH:
+        out.append(joined)
     if any(len(w) > WINDOW for w in out):
         out = [p for w in out for p in ([w] if len(w) <= WINDOW else [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW + STEP, STEP)])]
     return out
@@ -78,7 +91,7 @@ def strings(text: str) -> list[str]:
 
 def _codes(words: list[str], length: int) -> np.ndarray:
     flat = "".join(words)
-    return np.fromiter((_CODE.get(c, 0) for c in flat), dtype=np.int32, count=len(flat)).reshape(len(words), length)
+    return np.fromiter((_CODE[c] for c in flat), dtype=np.int32, count=len(flat)).reshape(len(words), length)
 
 
 _TRIPLES = {n: (np.array(list(combinations(range(n), LENGTH))), None) for n in range(LENGTH, WINDOW + 1)}
@@ -188,7 +201,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Squared hinge loss by Newton steps; the bias is hardly regularised."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penal = np.full(x.shape[1], ridge)
@@ -209,7 +222,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3, rou
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], positive_cost: float = POSITIVE_COST, negative_cost: float = NEGATIVE_COST, ridge: float = RIDGE) -> Model:
     """Train on whole labelled texts. Without both labels the score is the base rate."""
     none = Model(np.zeros(SIZE**LENGTH, dtype=np.float32), 0.0, 0.0, 0.0)
     good, bad = [t for t, y in zip(texts, labels, strict=True) if not y], [t for t, y in zip(texts, labels, strict=True) if y]
@@ -257,8 +270,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         high = sorted(chosen)
         x = np.vstack([kernel(high, landmarks) @ project, low])
         y = np.concatenate([np.ones(len(high)), -np.ones(len(negatives))])
-        cost = np.concatenate([np.minimum([chosen[w] for w in high], POSITIVE_COST), 1 + np.minimum([clean[w] for w in negatives], NEGATIVE_COST)])
-        beta, bias = _svm(x, y, cost)
+        cost = np.concatenate([np.minimum([chosen[w] for w in high], positive_cost), 1 + np.minimum([clean[w] for w in negatives], negative_cost)])
+        beta, bias = _svm(x, y, cost, ridge)
         dense = np.zeros(SIZE**LENGTH, dtype=np.float32)
         np.add.at(dense, i, (project @ beta)[r] * v)
         model = Model(dense, bias, 1.0, 0.0)
@@ -290,7 +303,8 @@ def document_margin(model: Model, text: str | None, cache: dict[str, float] | No
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Whether a row is of the fifth that nothing is learnt from; a null id is not."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Model:

@@ -13,7 +13,7 @@ def slow_map(word):
     out = defaultdict(float)
     for at in combinations(range(len(word)), tox.LENGTH):
         key = "".join(word[i] for i in at)
-        if all(c in tox.LETTERS for c in key):
+        if all(c.isalnum() for c in key):
             out[key] += tox.DECAY ** (at[-1] - at[0] + 1)
     return out
 
@@ -37,6 +37,7 @@ def test_kernel_matches_slow_version():
 def test_strings():
     assert tox.strings("You, i d i o t! (Ab) (abc) x y") == ["you", "idiot", "abc"]
     assert tox.strings("") == []
+    assert tox.strings("i . d * i - o ... t") == ["idiot"] and tox.strings("... a ? b") == []
     assert "".join(dict.fromkeys("".join(tox.strings("abcdefghij" * 5)))) == "abcdefghij"
 
 
@@ -71,6 +72,16 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
 
 
+def test_other_scripts_and_null_ids(spark):
+    rows = [(t.replace("idiot", "\u0434\u0443\u0440\u0430\u043a\u0438").replace("moron", "\u03b7\u03bb\u03af\u03b8\u03b9\u03bf\u03c2"), i, y) for i, t, y in corpus()]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [("er \u0434\u0443.\u0440\u0430-\u043a\u0438 the", None)], "text string, doc_id long")
+    model = tox.train(spark, docs, spark.createDataFrame([r[1:] for r in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in tox.score(spark, docs, model).collect()}
+    test = [(got[i], y) for _, i, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(p == y for p, y in test) / len(test) > 0.95 and got[None] == 1
+    assert docs.where("doc_id is null").select(tox.held_out(docs.doc_id).alias("h")).first().h is False
+
+
 def test_one_sided_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a word here"), (2, "b")], "doc_id long, text string")
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):
