@@ -114,21 +114,30 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, id_c
 
     Overlapping findings are replaced as one. Texts without findings, nulls too, stay as they are.
     """
-    found = scan_ledger(spark, docs, ledger, id_col, text_col).where(F.size("found") > 0).select("blob", "found").groupBy("blob").agg(F.first("found").alias("found"))
+    found = scan_ledger(spark, docs, ledger, id_col, text_col).where(F.size("found") > 0).select("blob", "found").groupBy("blob").agg(F.first("found").alias("_found"))
     row = docs.select(_blob(text_col).alias("blob"), F.struct(*docs.columns).alias("row")).join(found, "blob", "left")
-    text = F.col("row").getField(text_col)
-    # Findings come by start: one that begins before the end of those so far belongs to them.
-    merged = F.expr(
-        "aggregate(found, cast(array() as array<struct<s: bigint, e: bigint>>), (a, x) -> if(size(a) > 0 and x.s < a[size(a) - 1].e,"
-        " concat(slice(a, 1, size(a) - 1), array(named_struct('s', a[size(a) - 1].s, 'e', greatest(a[size(a) - 1].e, x.e)))), concat(a, array(named_struct('s', x.s, 'e', x.e)))))"
-    )
-    pieces = F.transform(F.sequence(F.lit(0), F.size("m")), lambda i: _between(text, i))
-    new = F.when(F.col("found").isNull(), text).otherwise(F.array_join(pieces, mask))
-    return row.withColumn("m", merged).select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
-
-
-def _between(text: Column, i: Column) -> Column:
-    """The text between the end of finding i - 1 and the start of finding i."""
-    start = F.when(i == 0, F.lit(0)).otherwise(F.get("m", i - 1)["e"])
-    end = F.coalesce(F.get("m", i)["s"], F.length(text))
-    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for b in batches:
+            columns = list(b.columns)
+            texts, founds = columns[at].to_pylist(), columns[-1].to_pylist()
+            if any(founds):
+                columns[at] = pa.array([masked(t, f, mask) if f else t for t, f in zip(texts, founds, strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
+
+    # Names may clash, so columns go by their places.
+    flat = row.select(*(F.col("row").getField(c).alias(f"_{i}") for i, c in enumerate(names)), "_found")
+    return flat.mapInArrow(run, docs.schema)
+
+
+def masked(text: str, found: list[dict], mask: str = MASK) -> str:
+    """The text with findings, which come by start, replaced; overlapping ones as one."""
+    out, end, open_at = [], 0, None
+    for x in found:
+        if open_at is not None and x["s"] < end:
+            end = max(end, x["e"])
+            continue
+        out.append(text[end : x["s"]] if open_at is not None else text[: x["s"]])
+        open_at, end = x["s"], x["e"]
+    return mask.join([*out, text[end:]])
