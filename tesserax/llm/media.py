@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 UNIT = 576
 PAD = b"\xff"
 IDAT = 1 << 16
+#: Lines that are filtered, compressed and read back at a time.
+BAND = 2048
 LEVEL = 4
 SIDE = 32
 LOW = 8
@@ -30,31 +33,58 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
 def pad(data: bytes, unit: int = UNIT) -> bytes:
-    return data + PAD * (unit - len(data) % unit if len(data) % unit or not data else 0)
+    return bytes(data) + _padding(len(data), unit)
+
+
+def _padding(size: int, unit: int) -> bytes:
+    return PAD * (unit - size % unit if size % unit or not size else 0)
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def write_png(samples: np.ndarray) -> bytes:
-    """A grey 8-bit PNG of a (height, width) uint8 array; each line gets the filter (none,
-    left or up) with the smallest sum of absolute differences."""
-    height, width = samples.shape
+def _filtered(samples: np.ndarray, above: np.ndarray) -> bytes:
+    """Scanlines of a band below the line ``above``: each gets the filter (none, left or up)
+    with the smallest sum of absolute differences."""
     left, up = samples.copy(), samples.copy()
     left[:, 1:] -= samples[:, :-1]
     up[1:] -= samples[:-1]
+    up[0] -= above
     options = np.stack([samples, left, up])
     best = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0)
-    lines = np.empty((height, width + 1), dtype=np.uint8)
+    lines = np.empty((len(samples), samples.shape[1] + 1), dtype=np.uint8)
     lines[:, 0] = best
-    lines[:, 1:] = options[best, np.arange(height)]
-    stream = zlib.compress(lines.tobytes(), LEVEL)
-    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
-    parts += [_chunk(b"IDAT", stream[at : at + IDAT]) for at in range(0, len(stream), IDAT)]
+    lines[:, 1:] = options[best, np.arange(len(samples))]
+    return lines.tobytes()
+
+
+def encode_png(data, unit: int = UNIT) -> bytes:
+    """A grey 8-bit PNG, ``unit`` samples wide, of the padded bytes. Beside the bytes and the
+    picture itself, one band of lines is held at a time."""
+    whole, rest = len(data) // unit, bytes(data[len(data) // unit * unit :])
+    last = rest + _padding(len(data), unit)
+    height = whole + len(last) // unit
+    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", unit, height, 8, 0, 0, 0, 0))]
+    deflate, above, ready = zlib.compressobj(LEVEL), np.zeros(unit, dtype=np.uint8), bytearray()
+    lines = np.frombuffer(data, dtype=np.uint8, count=whole * unit).reshape(whole, unit)
+    bands = [lines[at : at + BAND] for at in range(0, whole, BAND)] + ([np.frombuffer(last, dtype=np.uint8).reshape(-1, unit)] if last else [])
+    for i, band in enumerate(bands):
+        ready += deflate.compress(_filtered(band, above))
+        above = band[-1]
+        if i == len(bands) - 1:
+            ready += deflate.flush()
+        while len(ready) >= IDAT or (ready and i == len(bands) - 1):
+            parts.append(_chunk(b"IDAT", bytes(ready[:IDAT])))
+            del ready[:IDAT]
     return b"".join([*parts, _chunk(b"IEND", b"")])
 
 
+def write_png(samples: np.ndarray) -> bytes:
+    """A grey 8-bit PNG of a (height, width) uint8 array."""
+    return encode_png(np.ascontiguousarray(samples).tobytes(), samples.shape[1])
+
+
 def _average(line: np.ndarray, above: np.ndarray) -> None:
     before = np.zeros(line.shape[1], dtype=np.int64)
     for x in range(len(line)):
@@ -73,9 +103,8 @@ def _paeth(line: np.ndarray, above: np.ndarray) -> None:
         line[x] = a
 
 
-def _unfilter(lines: np.ndarray, width: int, channels: int) -> np.ndarray:
-    kinds, out = lines[:, 0], lines[:, 1:].reshape(len(lines), width, channels).copy()
-    above = np.zeros((width, channels), dtype=np.uint8)
+def _unfilter(lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    kinds, out = lines[:, 0], lines[:, 1:].reshape(len(lines), *above.shape).copy()
     for line, kind in zip(out, kinds.tolist(), strict=True):
         if kind == 1:
             np.cumsum(line, axis=0, dtype=np.uint8, out=line)
@@ -91,49 +120,80 @@ def _unfilter(lines: np.ndarray, width: int, channels: int) -> np.ndarray:
     return out
 
 
-def read_png(data: bytes) -> np.ndarray:
-    """(height, width, channels) uint8; raises ValueError unless every check holds."""
-    if data[:8] != SIGNATURE:
+def open_png(data) -> tuple[int, int, int, Iterator[np.ndarray]]:
+    """Height, width, channels, and the picture in bands of lines, each (lines, width, channels).
+
+    Raises ValueError, at the latest with the last band, unless every check holds.
+    """
+    data = memoryview(data)
+    if bytes(data[:8]) != SIGNATURE:
         raise ValueError("not a PNG")
-    at, head, stream, ended = 8, None, [], False
-    while at < len(data) and not ended:
-        if len(data) < at + 12:
-            raise ValueError("cut short")
-        size, kind = struct.unpack_from(">I4s", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if len(data) < at + 12 + size or zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + size)[0]:
-            raise ValueError(f"bad checksum in {kind!r}")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            stream.append(body)
-        elif kind == b"IEND":
-            ended = True
-        elif not kind[0] & 32:
-            raise ValueError(f"unknown critical chunk {kind!r}")
-        at += 12 + size
-    if head is None or not ended or head[2] != 8 or head[3] not in CHANNELS or head[4:] != (0, 0, 0):
+
+    def chunks():
+        at = 8
+        while at < len(data):
+            if len(data) < at + 12:
+                raise ValueError("cut short")
+            size, kind = struct.unpack_from(">I4s", data, at)
+            body = data[at + 8 : at + 8 + size]
+            if len(data) < at + 12 + size or zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+                raise ValueError(f"bad checksum in {kind!r}")
+            yield kind, body
+            if kind == b"IEND":
+                return
+            if kind not in (b"IHDR", b"IDAT") and not kind[0] & 32:
+                raise ValueError(f"unknown critical chunk {kind!r}")
+            at += 12 + size
+        raise ValueError("unsupported or incomplete PNG")
+
+    every = chunks()
+    first, body = next(every)
+    head = struct.unpack(">IIBBBBB", body) if first == b"IHDR" and len(body) == 13 else None
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[4:] != (0, 0, 0):
         raise ValueError("unsupported or incomplete PNG")
     width, height, channels = head[0], head[1], CHANNELS[head[3]]
-    try:
-        raw = zlib.decompress(b"".join(stream))
-    except zlib.error as e:
-        raise ValueError(str(e)) from e
-    if len(raw) != height * (width * channels + 1):
-        raise ValueError("wrong number of samples")
-    return _unfilter(np.frombuffer(raw, dtype=np.uint8).reshape(height, -1), width, channels)
-
-
-def _shrink(image: np.ndarray, side: int) -> np.ndarray:
-    for axis in (0, 1):
-        n = image.shape[axis]
-        starts = np.arange(side) * n // side
-        if n < side:
-            image = image.take(starts, axis=axis)
-        else:
-            sizes = np.diff(np.append(starts, n))
-            image = np.add.reduceat(image, starts, axis=axis) / (sizes[:, None] if axis == 0 else sizes[None, :])
-    return image
+    size = width * channels + 1
+
+    def bands():
+        inflate, ready, lines, above = zlib.decompressobj(), bytearray(), 0, np.zeros((width, channels), dtype=np.uint8)
+        try:
+            for kind, body in every:
+                if kind != b"IDAT":
+                    continue
+                more = inflate.decompress(body, BAND * size)
+                while more:
+                    ready += more
+                    n = len(ready) // size
+                    lines += n
+                    if lines > height:
+                        raise ValueError("wrong number of samples")
+                    if n:
+                        band = _unfilter(np.frombuffer(bytes(ready[: n * size]), dtype=np.uint8).reshape(n, size), above)
+                        del ready[: n * size]
+                        above = band[-1]
+                        yield band
+                    more = inflate.decompress(inflate.unconsumed_tail, BAND * size) if inflate.unconsumed_tail else b""
+        except zlib.error as e:
+            raise ValueError(str(e)) from e
+        if lines != height or ready or not inflate.eof:
+            raise ValueError("wrong number of samples")
+
+    return height, width, channels, bands()
+
+
+def read_png(data) -> np.ndarray:
+    """(height, width, channels) uint8; raises ValueError unless every check holds."""
+    height, width, channels, bands = open_png(data)
+    return np.concatenate([np.zeros((0, width, channels), dtype=np.uint8), *bands])
+
+
+def _shrink(image: np.ndarray, side: int, axis: int) -> np.ndarray:
+    n = image.shape[axis]
+    starts = np.arange(side) * n // side
+    if n < side:
+        return image.take(starts, axis=axis)
+    sizes = np.diff(np.append(starts, n))
+    return np.add.reduceat(image, starts, axis=axis) / (sizes[:, None] if axis == 0 else sizes[None, :])
 
 
 _FREQ = np.cos(np.pi * np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1) / (2 * SIDE))
@@ -141,9 +201,35 @@ _FREQ = np.cos(np.pi * np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1) / (2 *
 
 def perceptual_hash(image: np.ndarray) -> bytes:
     """64 bits: which low frequencies of the cosine transform exceed their median."""
-    grey = image.reshape(*image.shape[:2], -1).mean(axis=2, dtype=np.float64)
-    low = np.round(_FREQ @ _shrink(grey, SIDE) @ _FREQ.T, 6).ravel()
-    return np.packbits(low > np.median(low[1:])).tobytes()
+    small = Thumbnail(*image.shape[:2])
+    small.add(image)
+    return small.hash()
+
+
+class Thumbnail:
+    """Averages of a picture that comes in bands, and its perceptual hash."""
+
+    def __init__(self, height: int, width: int):
+        self.starts, self.height, self.at = np.arange(SIDE) * height // SIDE, height, 0
+        self.rows = np.zeros((SIDE, width))
+
+    def add(self, band: np.ndarray) -> None:
+        grey = band.reshape(*band.shape[:2], -1).mean(axis=2, dtype=np.float64)
+        if self.height < SIDE:  # lines repeat
+            for i, line in enumerate(self.starts.tolist()):
+                if self.at <= line < self.at + len(grey):
+                    self.rows[i] = grey[line - self.at]
+        else:
+            groups = np.searchsorted(self.starts, np.arange(self.at, self.at + len(grey)), side="right") - 1
+            first = np.flatnonzero(np.diff(groups, prepend=-1))
+            self.rows[groups[first]] += np.add.reduceat(grey, first, axis=0)
+        self.at += len(grey)
+
+    def hash(self) -> bytes:
+        sizes = np.diff(np.append(self.starts, self.height)) if self.height >= SIDE else np.ones(SIDE)
+        small = _shrink(self.rows / sizes[:, None], SIDE, 1)
+        low = np.round(_FREQ @ small @ _FREQ.T, 6).ravel()
+        return np.packbits(low > np.median(low[1:])).tobytes()
 
 
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
@@ -155,9 +241,11 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
     def run(batches):
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column(1)]
-            media = [write_png(np.frombuffer(pad(t, unit), dtype=np.uint8).reshape(-1, unit)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            # One row at a time, from the column's own memory: texts can be very long.
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_buffer() or b""
+                row = [b.column(0).slice(i, 1), pa.array([len(text)], pa.int64()), pa.array([encode_png(memoryview(text), unit)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["doc_id", "n_bytes", "media"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -175,17 +263,25 @@ def read_media(media: DataFrame, payload: bool = False) -> DataFrame:
         if data is None:
             return (None, None, None, None, None, None, "null") + (None,) * payload
         kept = (len(data), hashlib.sha256(data).hexdigest())
+        whole, size, tail, back = hashlib.sha256(), 0, b"", []
         try:
-            image = read_png(data)
+            height, width, _, bands = open_png(data)
+            small = Thumbnail(height, width)
+            for band in bands:
+                piece = band.tobytes()
+                whole.update(piece)
+                size, tail = size + len(piece), (tail + piece[-32:])[-32:]
+                small.add(band)
+                if payload:
+                    back.append(piece)
         except ValueError as e:
             return (None, None, None, *kept, None, str(e)) + (None,) * payload
-        back = image.tobytes()
-        found = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), *kept, perceptual_hash(image), None)
-        return found + (back,) * payload
+        found = (size, whole.hexdigest(), zlib.crc32(tail), *kept, small.hash(), None)
+        return found + (b"".join(back),) * payload
 
     def run(batches):
         for b in batches:
-            rows = [features(m.as_py()) for m in b.column(2)]
+            rows = [features(m.as_buffer()) for m in b.column(2)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds[2:]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names=names)
 
