@@ -77,7 +77,8 @@ def _(t):
 
 NODES = """nodes as (select '/' || r_name as path, '/' as parent, r_name as name, 'dir' as kind, 0::bigint as size from region
  union all select '/' || r_name || '/' || n_name, '/' || r_name, n_name, 'dir', 0 from nation join region on n_regionkey = r_regionkey
- union all select '/' || r_name || '/' || n_name || '/' || c_name, '/' || r_name || '/' || n_name, c_name, 'file', strlen(c_mktsegment) from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 9000)"""
+ union all select '/' || r_name || '/' || n_name || '/' || c_name, '/' || r_name || '/' || n_name, c_name, 'file', strlen(c_mktsegment) from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+ union all select '/' || r_name || '/.spare', '/' || r_name, '.spare', 'dir', 0 from region)"""
 
 
 def nodes(t) -> DataFrame:
@@ -85,8 +86,9 @@ def nodes(t) -> DataFrame:
     regions = t.region.select(path("r_name").alias("path"), F.lit("/").alias("parent"), F.col("r_name").alias("name"), F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("size"))
     inner = F.broadcast(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))  # 25 rows in this schema
     dirs = inner.select(path("r_name", "n_name"), path("r_name"), "n_name", F.lit("dir"), F.lit(0).cast("long"))
-    files = t.customer.where("c_acctbal > 9000").join(inner, F.col("c_nationkey") == F.col("n_nationkey"))
-    return regions.union(dirs).union(files.select(path("r_name", "n_name", "c_name"), path("r_name", "n_name"), "c_name", F.lit("file"), F.octet_length("c_mktsegment").cast("long")))
+    files = t.customer.join(inner, F.col("c_nationkey") == F.col("n_nationkey"))
+    spare = t.region.select(F.concat(path("r_name"), F.lit("/.spare")), path("r_name"), F.lit(".spare"), F.lit("dir"), F.lit(0).cast("long"))  # empty ones
+    return regions.union(dirs).union(spare).union(files.select(path("r_name", "n_name", "c_name"), path("r_name", "n_name"), "c_name", F.lit("file"), F.octet_length("c_mktsegment").cast("long")))
 
 
 @query("q_fs_resolve", f"with {NODES} select path || '//' as path, kind, size from nodes union all select '/', 'dir', 0")

@@ -9,86 +9,121 @@ from ..functions import scalars
 from ..operators import journal, maps, ordered, runs, sequences
 from .registry import query
 
-ASCII = "ascii as (select doc_id as doc, text from documents where lang = 'en' and strlen(text) = length(text))"
+#: Both sides show bytes as hexadecimal text, two digits a byte: DuckDB cuts no BLOBs.
+RAW = "raw as (select doc_id as doc, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents)"
 
 
-def ascii(t) -> DataFrame:
-    return t.documents.where((F.col("lang") == "en") & (F.octet_length("text") == F.length("text"))).select(F.col("doc_id").alias("doc"), "text")
+def raw(t) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("doc"), sequences.encode(F.col("text")).alias("b"))
+
+
+def digits(text: str) -> str:
+    return text.encode().hex().upper()
 
 
 def cut(size: int) -> str:
-    return f"chunks as (select doc, i as seq, substr(text, i * {size} + 1, {size}) as chunk, i * {size} as s, least((i + 1) * {size}, strlen(text)) as e, strlen(text) as n from (select doc, text, unnest(range(0, (strlen(text) + {size - 1}) // {size})) as i from ascii))"
+    return f"chunks as (select doc, i as seq, substr(h, i * {2 * size} + 1, {2 * size}) as chunk, i * {size} as s, least((i + 1) * {size}, n) as e, n from (select doc, h, n, unnest(range(0, (n + {size - 1}) // {size})) as i from raw))"
 
 
 def chunked(t, size: int = 64) -> DataFrame:
-    return sequences.chunks(ascii(t), "doc", "text", size)
+    return sequences.chunks(raw(t), "doc", "b", size)
+
+
+def shown(df: DataFrame, name: str = "chunk") -> DataFrame:
+    return df.withColumn(name, F.hex(name))
 
 
-@query("q_wt_total", f"with {ASCII} select doc, strlen(text)::bigint as total from ascii where strlen(text) > 0")
+def edited(t, new, least: int = 0) -> DataFrame:
+    """(doc, text): documents of ``least`` bytes or more, each with an expression of its bytes."""
+    return raw(t).where(F.octet_length("b") >= least).select("doc", F.hex(new(F.col("b"))).alias("text"))
+
+
+@query("q_wt_total", f"with {RAW} select doc, n::bigint as total from raw where n > 0")
 def _(t):
     return chunked(t).groupBy("doc").agg(F.sum(F.octet_length("chunk")).alias("total"))
 
 
-@query("q_wt_locate", f"with {ASCII}, {cut(64)} select doc, seq::int as seq, (200 - s)::bigint as \"inner\" from chunks where s <= 200 and 200 < e")
+@query("q_wt_locate", f"with {RAW}, {cut(64)} select doc, seq::int as seq, (200 - s)::bigint as \"inner\" from chunks where s <= 200 and 200 < e")
 def _(t):
     return sequences.locate(chunked(t), F.lit(200)).select("doc", "seq", "inner")
 
 
-@query("q_wt_scan_from", f"with {ASCII}, {cut(64)} select doc, seq::int as seq, chunk from chunks where e > 1000 and n > 1000")
+@query("q_wt_scan", f"with {RAW}, {cut(64)} select doc, seq::int as seq, chunk, s::bigint as start, e::bigint as \"end\" from chunks")
+def _(t):
+    return shown(sequences.placed(chunked(t))).select("doc", "seq", "chunk", "start", "end")
+
+
+@query("q_wt_scan_from", f"with {RAW}, {cut(64)} select doc, seq::int as seq, chunk from chunks where e > 1000 and n > 1000")
+def _(t):
+    return shown(sequences.placed(chunked(t)).where("end > 1000").select("doc", "seq", "chunk"))
+
+
+@query("q_wt_insert_split", f"with {RAW} select doc, h[1:200] || '{digits('<néw>')}' || h[201:] as text from raw where n >= 100")
+def _(t):
+    made = sequences.whole(sequences.insert_split(chunked(t), 100, "<néw>"))
+    return made.join(raw(t).where("octet_length(b) >= 100").select("doc"), "doc", "left_semi").select("doc", F.hex("bytes").alias("text"))
+
+
+@query("q_wt_remove_entry", f"with {RAW}, {cut(64)} select doc, seq::int as seq, chunk from chunks where not (s <= 150 and 150 < e)")
 def _(t):
-    return sequences.placed(chunked(t)).where("end > 1000").select("doc", "seq", "chunk")
+    return shown(sequences.remove_entry(chunked(t), 150))
 
 
-@query("q_wt_insert_split", f"with {ASCII} select doc, text[1:100] || '<new>' || text[101:] as text from ascii where strlen(text) >= 100")
+@query("q_wt_prev_entry", f"with {RAW}, {cut(64)} select doc, seq::int as seq, lag(chunk) over (partition by doc order by seq) as prev from chunks")
 def _(t):
-    edited = sequences.insert_split(chunked(t), 100, "<new>")
-    whole = edited.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("text"))
-    return whole.join(ascii(t).where("octet_length(text) >= 100").select("doc"), "doc", "left_semi")
+    return shown(chunked(t).select("doc", "seq", F.lag("chunk").over(Window.partitionBy("doc").orderBy("seq")).alias("prev")), "prev")
 
 
-@query("q_wt_remove_entry", f"with {ASCII}, {cut(64)} select doc, seq::int as seq, chunk from chunks where not (s <= 150 and 150 < e)")
+@query("q_wt_next_entry", f"with {RAW}, {cut(64)} select doc, seq::int as seq, lead(chunk) over (partition by doc order by seq) as next, lead(chunk) over (partition by doc order by seq) is null as off_end from chunks")
 def _(t):
-    return sequences.remove_entry(chunked(t), 150)
+    after = F.lead("chunk").over(Window.partitionBy("doc").orderBy("seq"))
+    return shown(chunked(t).select("doc", "seq", after.alias("next"), after.isNull().alias("off_end")), "next")
 
 
-@query("q_wt_prev_entry", f"with {ASCII}, {cut(64)} select doc, seq::int as seq, lag(chunk) over (partition by doc order by seq) as prev from chunks")
+@query("q_seq_size", f"with {RAW} select sum(n)::bigint as bytes, count(*) as n from raw")
 def _(t):
-    return chunked(t).select("doc", "seq", F.lag("chunk").over(Window.partitionBy("doc").orderBy("seq")).alias("prev"))
+    return raw(t).agg(F.sum(F.octet_length("b")).alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-@query("q_seq_size", f"with {ASCII} select sum(strlen(text))::bigint as bytes, count(*) as n from ascii")
+@query("q_seq_read_at", f"with {RAW} select doc, substr(h, 201, 300) as bytes from raw where n >= 100")
 def _(t):
-    return ascii(t).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return shown(sequences.read_at(chunked(t), 100, 150, 64), "bytes")
 
 
-@query("q_seq_read_at", f"with {ASCII} select doc, substr(text, 101, 150) as bytes from ascii where strlen(text) >= 100")
+@query("q_seq_insert", f"with {RAW} select doc, h[1:100] || '{digits('XYZ')}' || h[101:] as text from raw where n >= 50")
 def _(t):
-    return sequences.read_at(chunked(t), 100, 150)
+    return edited(t, lambda b: sequences.insert(b, 50, "XYZ"), 50)
 
 
-@query("q_seq_insert", f"with {ASCII} select doc, text[1:50] || 'XYZ' || text[51:] as text from ascii where strlen(text) >= 50")
+@query("q_seq_append", f"with {RAW} select doc, h || '{digits('täil')}' as text from raw")
 def _(t):
-    return ascii(t).where("octet_length(text) >= 50").select("doc", sequences.insert(F.col("text"), 50, "XYZ").alias("text"))
+    return edited(t, lambda b: F.concat(b, sequences.encode(F.lit("täil"))))
 
 
-@query("q_seq_append", f"with {ASCII} select doc, text || 'tail' as text from ascii")
+@query("q_seq_erase", f"with {RAW} select doc, h[1:100] || h[121:] as text from raw where n >= 60")
 def _(t):
-    return ascii(t).select("doc", F.concat("text", F.lit("tail")).alias("text"))
+    return edited(t, lambda b: sequences.erase(b, 50, 10), 60)
 
 
-@query("q_seq_erase", f"with {ASCII} select doc, text[1:50] || text[61:] as text from ascii where strlen(text) >= 60")
+@query("q_seq_replace", f"with {RAW} select doc, h[1:40] || '{digits('replaced')}' || h[51:] as text from raw where n >= 25")
 def _(t):
-    return ascii(t).where("octet_length(text) >= 60").select("doc", sequences.erase(F.col("text"), 50, 10).alias("text"))
+    return edited(t, lambda b: sequences.replace(b, 20, 5, "replaced"), 25)
 
 
-@query("q_seq_replace", f"with {ASCII} select doc, text[1:20] || 'replaced' || text[26:] as text from ascii where strlen(text) >= 25")
+@query("q_seq_clear", f"with {RAW}, {cut(64)} select count(*) as chunks, coalesce(sum(e - s), 0)::bigint as bytes from chunks where doc % 2 <> 0")
 def _(t):
-    return ascii(t).where("octet_length(text) >= 25").select("doc", sequences.replace(F.col("text"), 20, 5, "replaced").alias("text"))
+    left = sequences.clear(chunked(t), F.col("doc") % 2 == 0)
+    return left.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0)).cast("long").alias("bytes"))
 
 
-@query("q_seq_rechunk", f"with {ASCII}, {cut(256)} select doc, seq::int as seq, chunk from chunks")
+@query("q_seq_rechunk", f"with {RAW}, {cut(256)} select doc, seq::int as seq, chunk from chunks")
 def _(t):
-    return chunked(t, 256)
+    return shown(chunked(t, 256))
+
+
+@query("q_seq_chunk_sizes", f"with {RAW}, {cut(100)} select (e - s)::int as size, count(*) as n from chunks group by 1")
+def _(t):
+    return chunked(t, 100).groupBy(F.octet_length("chunk").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_blob_size", "select user_id as blob, sum(strlen(props))::bigint as bytes from events group by 1")
@@ -96,14 +131,26 @@ def _(t):
     return t.events.groupBy(F.col("user_id").alias("blob")).agg(F.sum(F.octet_length("props")).alias("bytes"))
 
 
-@query("q_blob_read_at", f"with {ASCII} select doc, substr(text, 301, 64) as bytes from ascii where strlen(text) >= 300")
+@query("q_blob_read_at", f"with {RAW} select doc, substr(h, 601, 128) as bytes from raw where n >= 300")
+def _(t):
+    return shown(sequences.read_at(chunked(t, 256), 300, 64, 256), "bytes")
+
+
+@query("q_blob_read_next", f"with {RAW}, spot as (select doc, h, least(n, 40) as c, n from raw) select doc, substr(h, 2 * c + 1, 50) as bytes, least(n, c + 25)::bigint as cursor from spot")
 def _(t):
-    return sequences.read_at(chunked(t, 256), 300, 64)
+    at = sequences.seek(F.octet_length("b"), 40)
+    return shown(raw(t).select("doc", sequences.read_next(F.col("b"), at, 25).alias("r")).select("doc", "r.bytes", "r.cursor"), "bytes")
 
 
-@query("q_blob_write_at", f"with {ASCII} select doc, case when strlen(text) >= 90 then text[1:90] || '0123456789' || text[101:] end as text from ascii")
+@query("q_blob_write_next", f"with {RAW}, spot as (select doc, h, least(n, 70) as c from raw) select doc, h[1:2 * c] || '{digits('wrïtten')}' || substr(h, 2 * c + {2 * len('wrïtten'.encode()) + 1}) as bytes, (c + {len('wrïtten'.encode())})::bigint as cursor from spot")
 def _(t):
-    return ascii(t).select("doc", sequences.write_at(F.col("text"), 90, "0123456789").alias("text"))
+    at = sequences.seek(F.octet_length("b"), 70)
+    return shown(raw(t).select("doc", sequences.write_next(F.col("b"), at, "wrïtten").alias("r")).select("doc", "r.bytes", "r.cursor"), "bytes")
+
+
+@query("q_blob_write_at", f"with {RAW} select doc, case when n >= 90 then h[1:180] || '{digits('0123456789')}' || h[201:] end as text from raw")
+def _(t):
+    return edited(t, lambda b: sequences.write_at(b, 90, "0123456789"))
 
 
 @query("q_blob_append_log", "select user_id as blob, string_agg(event_type, ',' order by event_id) as log from events group by 1")
@@ -112,30 +159,40 @@ def _(t):
     return t.events.groupBy(F.col("user_id").alias("blob")).agg(log.alias("log"))
 
 
-@query("q_blob_truncate", f"with {ASCII} select doc, case when strlen(text) >= 128 then text[1:128] end as text from ascii")
+@query("q_blob_append_chunk", f"with {RAW}, {cut(256)}, more as (select doc, seq, chunk from chunks union all select doc, max(seq) + 1, '{digits('sealed')}' from chunks group by doc) select doc, seq::int as seq, chunk from more")
+def _(t):
+    return shown(sequences.append_chunk(chunked(t, 256), "sealed"))
+
+
+@query("q_blob_drop_last", f"with {RAW}, {cut(256)} select doc, seq::int as seq, chunk from chunks where e < n")
+def _(t):
+    return shown(sequences.drop_last(chunked(t, 256)))
+
+
+@query("q_blob_truncate", f"with {RAW} select doc, case when n >= 128 then h[1:256] end as text from raw")
 def _(t):
-    return ascii(t).select("doc", sequences.truncate(F.col("text"), 128).alias("text"))
+    return edited(t, lambda b: sequences.truncate(b, 128))
 
 
-@query("q_blob_truncate_delta", f"with {ASCII} select doc, case when strlen(text) >= 128 then substr(text, 1, strlen(text) - 128) end as text from ascii")
+@query("q_blob_truncate_delta", f"with {RAW} select doc, case when n >= 128 then substr(h, 1, 2 * (n - 128)) end as text from raw")
 def _(t):
-    return ascii(t).select("doc", sequences.truncate_by(F.col("text"), 128).alias("text"))
+    return edited(t, lambda b: sequences.truncate_by(b, 128))
 
 
-@query("q_blob_extend", f"with {ASCII} select doc, text || '        ' as text from ascii")
+@query("q_blob_extend", f"with {RAW} select doc, h || '{digits('        ')}' as text from raw")
 def _(t):
-    return ascii(t).select("doc", sequences.extend(F.col("text"), 8).alias("text"))
+    return edited(t, lambda b: sequences.extend(b, 8))
 
 
-@query("q_blob_resize", f"with {ASCII} select doc, rpad(text, 200, ' ') as text from ascii")
+@query("q_blob_resize", f"with {RAW} select doc, rpad(h, 400, '20') as text from raw")
 def _(t):
-    return ascii(t).select("doc", sequences.resize(F.col("text"), 200).alias("text"))
+    return edited(t, lambda b: sequences.resize(b, 200))
 
 
-@query("q_blob_locate", f"with {ASCII}, {cut(256)} select doc, seq::int as seq, s::bigint as start, e < n as sealed from chunks where s <= 300 and 300 < e")
+@query("q_blob_locate", f"with {RAW}, {cut(256)} select doc, seq::int as seq, s::bigint as start, e < n as sealed from chunks where s <= 300 and 300 < e")
 def _(t):
     spots = sequences.locate(chunked(t, 256), F.lit(300)).select("doc", "seq", F.col("start").cast("long").alias("start"), "end")
-    total = ascii(t).select("doc", F.octet_length("text").alias("n"))
+    total = raw(t).select("doc", F.octet_length("b").alias("n"))
     return spots.join(total, "doc").select("doc", "seq", "start", (F.col("end") < F.col("n")).alias("sealed"))
 
 

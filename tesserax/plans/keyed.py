@@ -360,7 +360,18 @@ def _(t):
     return whole.select("n", "p", "bits", F.expr("bits div 64").alias("words"), k_of(F.col("bits")).alias("k"))
 
 
-@query("q_bloom_build")
+def bloom_sql(keys: str, probes: str = "select 0 as key where false") -> str:
+    """Parameters, bits of the keys and bits of the probes of a filter at 1 %."""
+    half = "('0x' || substr(md5({0}::varchar), {1}, 15))::bigint"
+    at = f"(({half.format('key', 1)} % m) + i * ({half.format('key', 17)} % m)) % m"
+    return f"""keys as ({keys}), size as (select count(*) as n, ceil(ceil(-count(*) * ln(0.01) / (ln(2) * ln(2))) / 64)::bigint * 64 as m from keys),
+ par as (select n, m, greatest(1, round(m / n * ln(2)))::bigint as k from size),
+ "at" as (select distinct p from (select {at} as p from (select key, m, unnest(range(0, k)) as i from keys, par))),
+ probes as ({probes}), asked as (select distinct key, {at} as p from (select key, m, unnest(range(0, k)) as i from probes, par)),
+ passed as (select key from asked left join "at" on asked.p = "at".p group by key having count("at".p) = count(*))"""
+
+
+@query("q_bloom_build", f"with {bloom_sql('select distinct o_custkey as key from orders')} select p // 64 as word, bit_or(case when p % 64 = 63 then -9223372036854775808 else 1::bigint << (p % 64) end)::bigint as mask from \"at\" group by 1")
 def _(t):
     keys = t.orders.select("o_custkey").distinct()
     m, k = membership.parameters(keys.count(), 0.01)
@@ -373,3 +384,18 @@ def _(t):
     m, k = membership.parameters(keys.count(), 0.01)
     near = membership.might_contain(t.customer.select("c_custkey", "c_name"), "c_custkey", membership.build(keys, "o_custkey", m, k), m, k)
     return near.join(keys, near.c_custkey == keys.o_custkey, "left_semi")
+
+
+@query(
+    "q_bloom_pass",
+    f"with {bloom_sql('select distinct o_custkey as key from orders where o_orderkey % 20 = 0', 'select c_custkey as key from customer')}, kept as (select key, key in (select key from keys) as added from passed) select count(*) as passed, count(*) filter (where added) as added, count(*) filter (where not added) <= 0.05 * (select count(*) from probes) as few_false from kept",
+)
+def _(t):
+    keys = t.orders.where("o_orderkey % 20 = 0").select("o_custkey").distinct()
+    m, k = membership.parameters(keys.count(), 0.01)
+    probes = t.customer.select("c_custkey")
+    passed = membership.might_contain(probes, "c_custkey", membership.build(keys, "o_custkey", m, k), m, k)
+    kept = passed.join(keys, passed.c_custkey == keys.o_custkey, "left")
+    added, n = F.col("o_custkey").isNotNull(), F.broadcast(probes.agg(F.count(F.lit(1)).alias("n")))  # one row
+    counted = kept.agg(F.count(F.lit(1)).alias("passed"), F.count_if(added).alias("added"), F.count_if(~added).alias("other"))
+    return counted.crossJoin(n).select("passed", "added", (F.col("other") <= 0.05 * F.col("n")).alias("few_false"))
