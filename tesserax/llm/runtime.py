@@ -5,6 +5,7 @@ from __future__ import annotations
 import getpass
 import sys
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,34 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a re-read of a file and not the work before it.
     """
     path = shared_path(spark, name)
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables written by the calls of ``finished`` that are under way.
+_open: list[list[str]] = []
+
+
+def finished(spark: SparkSession, plan: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """A plan's written result and its path. The tables that were written on the way to it go:
+    what follows reads the result alone."""
+    _open.append([])
+    try:
+        result = materialize(spark, plan(), name)
+    finally:
+        made = _open.pop()
+    for path in made[:-1]:
+        delete(spark, path)
+    return result, made[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(home, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder, once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tesserax/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/tesserax/{spark.sparkContext.applicationId}")

@@ -2,8 +2,9 @@ import zlib
 
 import corpus_pipeline
 from tesserax.llm import mixing, secrets, toxicity
+from tesserax.llm.runtime import finished
 from test_mixing import slow as slow_mix
-from test_simhash import slow_components
+from test_jaccard import slow as slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     assert clean.columns == columns and sorted(map(tuple, clean.collect())) == sorted(want)
 
     single = stage(1, clean)
-    keep = {c for i, _, c in slow_components([(r[0], r[1]) for r in want])}
+    keep = set(slow_groups([(r[0], r[1]) for r in want]))
     assert sorted(map(tuple, single.collect())) == sorted(r for r in want if r[0] in keep)
 
     masked = stage(2, single)
@@ -52,5 +53,38 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     assert all(sum(r.tokens for r in b) <= 2048 and len({r.doc_id for r in b}) == len(b) for b in bins.values())
 
 
-def test_run_has_the_columns_of_the_last_stage(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "tokens", "bin", "at"]
+def test_run_has_the_columns_of_the_last_stage_and_leaves_no_other_tables(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}/shared")
+    spark.conf.set("spark.tesserax.ledger", f"file:{tmp_path}/ledger")
+    try:
+        out = corpus_pipeline.run(spark, SF)
+        rows = out.count()
+        assert out.columns == ["doc_id", "piece", "start", "tokens", "bin", "at"] and rows > 0
+        left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("shared/tesserax/*/*")}
+        assert left == {"source_mixing", "sizes", "pieces"}
+        scanned = spark.read.parquet(f"file:{tmp_path}/ledger").count()
+        # A second run finds all blobs in the ledger.
+        assert corpus_pipeline.run(spark, SF).count() == rows
+        assert 0 < scanned == spark.read.parquet(f"file:{tmp_path}/ledger").count()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        spark.conf.unset("spark.tesserax.ledger")
+
+
+ODD = [
+    (1, "plain words of a short text", "en", "s1"), (1, "plain words of a short text", "en", "s1"), (2, None, None, None), (None, "no id here", "de", "s2"), (None, None, None, None),
+    (3, "", "en", "s1"), (4, "word " * 60_000, "fr", "s3"), (5, "secret=abcdefgh and more words follow here", "en", "s1"), (6, "\u4f60\u597d " * 50, "zh", "s1"),
+]
+
+
+def test_every_stage_takes_odd_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), "v", -1) for i, t, lang, s in ODD], "doc_id long, text string, lang string, source string, n_chars long, blob string, bin int")
+    for frame, least in ((docs, 1), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = frame.columns
+            frame, _ = finished(spark, lambda stage=stage, frame=frame: stage(spark, frame, SF), name)
+            assert name == "best_fit_packing" or frame.columns == columns
+            assert frame.count() >= least
+            if name == "secret_scans" and least:
+                assert {r.text for r in frame.where("doc_id = 5").collect()} == {"[SECRET] and more words follow here"}
+                assert frame.where("doc_id = 1").count() == 1 and frame.where("text is null").count() + frame.where("text = ''").count() == 1
