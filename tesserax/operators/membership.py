@@ -62,3 +62,8 @@ def might_contain(probes_df: DataFrame, key: str, bloom: DataFrame, bits: int, p
 def bit_set(df: DataFrame, group: list[str], position: Column) -> DataFrame:
     """(group, bits): positions 0 to 63 of a group as one word."""
     return df.groupBy(*group).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))).alias("bits"))
+
+
+def capacity(region: Column, object_bytes: int) -> Column:
+    """How many objects fit into a region of bytes with one bit for each beside them."""
+    return F.call_function("div", region * 8, F.lit(8 * object_bytes + 1)).cast("long")

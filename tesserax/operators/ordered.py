@@ -18,11 +18,17 @@ def borders(df: DataFrame, key: str, buckets: int | None = None) -> list:
     """Ascending keys that cut the table into at most ``buckets`` parts of like size.
 
     By default there are as many as shuffles have partitions, within the limits above. The
-    sample, the first keys by hash, is the only thing that comes to the driver.
+    sample, the first different keys by hash, is the only thing that comes to the driver; a
+    threshold on the hash keeps all others out of its sort.
     """
     if buckets is None:
         buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_BUCKET * buckets)
+    wanted, known = SAMPLE_PER_BUCKET * buckets, df.where(F.col(key).isNotNull()).select(key)
+    different = known.agg(F.approx_count_distinct(key)).first()[0]
+    if different > wanted:
+        share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30)
+        known = known.where(share <= 1.5 * wanted / different)
+    rows = known.distinct().orderBy(F.xxhash64(key), key).limit(wanted)
     keys = sorted(r[0] for r in rows.collect())
     return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.scalars import size_class
-from ..operators import freespace, ordered, trees
+from ..operators import freespace, maps, ordered, queues, trees
 from ..operators.boxes import Box
 from ..spec import DISPATCH
 from .registry import query
@@ -123,6 +124,62 @@ def _(t):
     return t.pages.select("page_id", trees.split_path(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1)).alias("parts"))
 
 
+FILES = f"{NODES}, files as (select path, parent, name, kind, size, case when kind = 'file' then hex(encode(name)) end as content from nodes)"
+
+
+def files(t) -> DataFrame:
+    """The tree with the names of its files as their contents."""
+    return nodes(t).withColumn("content", F.when(F.col("kind") == "file", F.col("name").cast("binary")))
+
+
+@query("q_fs_mkdir", f"with {FILES} select path, kind from files union all select path || '/new', 'dir' from files where kind = 'dir' union all select '/top', 'dir'")
+def _(t):
+    new = files(t).where("kind = 'dir'").select(F.concat("path", F.lit("/new")).alias("path"))
+    odd = t.spark.createDataFrame([("/top",), ("/no/such/dir",), ("/AFRICA",)], "path string")
+    return trees.make(files(t), new.union(odd), "dir").select("path", "kind")
+
+
+@query("q_fs_mkdir_faults", f"with {FILES} select path, 'AlreadyExists' as fault from files union all select path || '/under', 'NotADirectory' from files where kind = 'file' union all select '/no/such', 'NotFound'")
+def _(t):
+    asked = files(t).select("path").union(files(t).where("kind = 'file'").select(F.concat("path", F.lit("/under"))))
+    return trees.faults(files(t), asked.union(t.spark.createDataFrame([("/no/such",)], "path string")))
+
+
+@query("q_fs_touch", f"with {FILES} select path, kind, size, content from files union all select path || '/empty', 'file', 0, '' from files where kind = 'dir'")
+def _(t):
+    new = files(t).where("kind = 'dir'").select(F.concat("path", F.lit("/empty")).alias("path"))
+    return trees.make(files(t), new, "file").select("path", "kind", "size", F.hex("content").alias("content"))
+
+
+@query("q_fs_append", f"with {FILES} select path, case when kind = 'file' then size_ else size end::bigint as size, case when kind = 'file' then content || '2B21' end as content from (select *, strlen(name) + 2 as size_ from files)")
+def _(t):
+    more = files(t).select("path", F.lit(bytearray(b"+!")).alias("new"))
+    return trees.write(files(t), more, append=True).select("path", "size", F.hex("content").alias("content"))
+
+
+@query("q_fs_replace", f"with {FILES} select path, case when kind = 'file' and strlen(name) % 2 = 0 then 3 else size end::bigint as size, case when kind = 'file' and strlen(name) % 2 = 0 then '6E6577' else content end as content from files")
+def _(t):
+    some = files(t).where("octet_length(name) % 2 = 0").select("path", F.lit(bytearray(b"new")).alias("new"))
+    return trees.write(files(t), some).select("path", "size", F.hex("content").alias("content"))
+
+
+@query("q_fs_read", f"with {FILES} select path, content[1:16] as bytes from files where kind = 'file'")
+def _(t):
+    return trees.read(files(t), files(t).select("path"), 8).select("path", F.hex("bytes").alias("bytes"))
+
+
+@query("q_fs_size", f"with {FILES} select path, case when kind = 'file' then strlen(name) end::bigint as size, kind = 'dir' as is_dir from files")
+def _(t):
+    file = F.col("kind") == "file"
+    return files(t).select("path", F.when(file, F.octet_length("content")).cast("long").alias("size"), (~file).alias("is_dir"))
+
+
+@query("q_fs_remove", f"with {FILES} select path from files where not ((kind = 'file' and strlen(name) % 2 = 0) or (kind = 'dir' and path not in (select parent from files)))")
+def _(t):
+    asked = files(t).where("kind = 'dir' or octet_length(name) % 2 = 0").select("path")
+    return trees.remove(files(t), asked).select("path")
+
+
 FREE = "free as (select doc_id as pid, 4096 - n_chars % 4096 as free from documents), req as (select conv_id * 100 + turn as id, length(text)::bigint as size from conversations)"
 CLASS = "case when {0} <= 8 then 0 when {0} <= 64 then 1 when {0} <= 512 then 2 when {0} <= 4096 then 3 else 4 end"
 
@@ -171,3 +228,29 @@ def flagship(t) -> DataFrame:
 
 
 query("q_flagship", f"with {AREAS} select areas.*, o_orderpriority, o_orderdate, o_totalprice from areas left join orders on o_orderkey = id where not (hi0 < 0 or 400 < lo0 or hi1 < 0 or 600 < lo1) order by o_orderpriority, o_orderdate, id limit 10")(flagship)
+
+
+@query("q_fsm_change", f"with {FREE} select pid, case when pid % 5 = 0 then free - 10 else free end as free from free where pid % 7 <> 0 union all select pid + 10000000, 4096 from free where pid % 11 = 0")
+def _(t):
+    table = pages(t).select(F.col("pid").alias("k"), F.col("free").alias("v"))
+    added = maps.insert_if_absent(table, table.where("k % 11 = 0").select((F.col("k") + 10000000).alias("k"), F.lit(4096).cast("long").alias("v")))
+    known = table.where("k % 5 = 0").select("k", (F.col("v") - 10).alias("v"))
+    changed = maps.update_if_present(added, known)
+    return maps.delete(changed, table.where("k % 7 = 0")).select(F.col("k").alias("pid"), F.col("v").alias("free"))
+
+
+@query("q_fsm_unknown", f"with {FREE} select pid + 1 as pid from free where pid % 5 = 0 and pid + 1 not in (select pid from free)")
+def _(t):
+    asked = pages(t).where("pid % 5 = 0").select((F.col("pid") + 1).alias("pid"))
+    return asked.join(pages(t), "pid", "left_anti")
+
+
+@query("q_fsm_classes", f"with {FREE} select {CLASS.format('free')}::int as class, count(*) as n from free group by 1")
+def _(t):
+    return pages(t).groupBy(scalars.size_class(F.col("free"), 8, 8).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_freelist_pop", f"with {FREE} select list, pid from (select free % 16 as list, pid, row_number() over (partition by free % 16 order by pid desc) as r from free) where r = 2")
+def _(t):
+    stack = pages(t).select((F.col("free") % 16).alias("list"), F.col("pid").alias("seq"), "pid")
+    return queues.newest(queues.pop_newest(stack, "list"), "list", "pid").select("list", "pid")

@@ -1,13 +1,15 @@
 """Versioned sets of tables: one writer, staged changes, an atomic publish.
 
-A version is a folder with a Parquet folder per table. The pointer file names the current
-one; a commit writes all changed tables, then replaces the pointer by a rename. Readers see
+Each commit writes its changed tables to a folder of its own, named at random, so writers
+never touch each other's files. The pointer file names the folder of each table; a commit
+replaces it by a rename, if it still is the one that the transaction began with. Readers see
 the old version or the new one, and a crash leaves the old one.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +35,8 @@ class Store:
             raise SpecError(f"{path} exists")
         self = cls(spark, path, spec)
         for t in spec.tables:
-            spark.createDataFrame([], t.struct()).write.parquet(self._folder(0, t.name))
-        self._publish({"version": 0, "schema": spec.fingerprint(), "tables": {t.name: 0 for t in spec.tables}})
+            spark.createDataFrame([], t.struct()).write.parquet(self._folder("new", t.name))
+        self._publish({"version": 0, "schema": spec.fingerprint(), "tables": {t.name: [0, "new"] for t in spec.tables}})
         return self
 
     @classmethod
@@ -45,8 +47,12 @@ class Store:
             raise SpecError(f"{path} has another schema")
         return self
 
-    def _folder(self, version: int, name: str) -> str:
-        return f"{self.path}/v{version}/{name}"
+    def _folder(self, part: str, name: str) -> str:
+        return f"{self.path}/{part}/{name}"
+
+    def versions(self) -> dict[str, int]:
+        """The version that last changed each table."""
+        return {name: version for name, (version, _) in self._pointer()["tables"].items()}
 
     def _pointer(self) -> dict:
         return json.loads(_read_text(self.spark, f"{self.path}/current.json"))
@@ -67,7 +73,7 @@ class Store:
     def table(self, name: str) -> DataFrame:
         """The committed state of a table."""
         spec = self.spec.table(name)
-        return self.spark.read.schema(spec.struct()).parquet(self._folder(self._pointer()["tables"][name], name))
+        return self.spark.read.schema(spec.struct()).parquet(self._folder(self._pointer()["tables"][name][1], name))
 
     def begin(self) -> Transaction:
         if self._open is not None:
@@ -96,13 +102,16 @@ class Transaction:
         self.staged[name] = df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in struct))
 
     def commit(self) -> None:
-        """Write what is staged and publish it; a failure while writing rolls all back."""
+        """Write what is staged and publish it; a failure on the way rolls all back, as does a
+        version that another writer has published since the begin."""
         store = self._live()
-        version = self.pointer["version"] + 1
+        version, part = self.pointer["version"] + 1, uuid.uuid4().hex
         try:
             for name, df in self.staged.items():
-                df.write.mode("overwrite").parquet(store._folder(version, name))
-            store._publish({"version": version, "schema": store.spec.fingerprint(), "tables": self.pointer["tables"] | {n: version for n in self.staged}})
+                df.write.parquet(store._folder(part, name))
+            if store._pointer()["version"] != self.pointer["version"]:
+                raise TransactionError("another version was published meanwhile")
+            store._publish({"version": version, "schema": store.spec.fingerprint(), "tables": self.pointer["tables"] | {n: [version, part] for n in self.staged}})
         finally:
             store._open = None
 

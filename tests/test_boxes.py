@@ -1,4 +1,7 @@
-"""Known values of box predicates and measures."""
+"""Box predicates and measures against loops over the axes."""
+
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,27 +20,57 @@ def box(*c, whole=True):
     return Box.literal(c[:n], c[n:], whole)
 
 
-def test_measures(value):
-    assert (value(box(0, 0, 2, 3).measure()), value(box(0, 0, 2, 3).perimeter())) == (6, 5)
-    b = box(0, 0, 0, 0, 2, 3, 5, 7)
-    assert [value(x) for x in (b.measure(), b.perimeter(), b.surface())] == [210, 17, 494]
-    assert [value(x) for x in (b.measure(0, 3), b.perimeter(0, 3), b.surface(0, 3))] == [30, 10, 62]
-    assert [value(x) for x in (b.measure(1, 2), b.perimeter(1, 2), b.surface(1, 2))] == [15, 8, 16]
-    m = box(0, 0, 2, 2).merged(box(1, 1, 3, 3))
-    assert [value(c) for c in (*m.low, *m.high)] == [0, 0, 3, 3] and value(m.measure()) == 9
-    assert value(box(0, 0, 2, 2).enlargement(box(1, 1, 3, 3))) == 5 and value(box(0, 0, 2, 2).overlap_measure(box(1, 1, 3, 3))) == 1
-    full = Box((F.lit(-(1 << 63)),) * 2, (F.lit((1 << 63) - 1),) * 2)
-    assert value(full.measure()) == MAX_LONG
-
-
-def test_edges(value):
-    assert not value(box(0, 0, 1, 1).overlaps(box(1, 1, 2, 2)))
-    assert value(box(0, 0, 1, 1).intersects(box(1, 0, 2, 1))) and not value(box(0, 0, 1, 1).overlaps(box(1, 0, 2, 1)))
-    b = box(0, 0, 2, 2)
-    assert value(b.contains((F.lit(1), F.lit(1)))) and not value(b.contains((F.lit(2), F.lit(2))))
-    assert [value(c) for c in box(0, 0, 3, 3).center()] == [1, 1] and [value(c) for c in box(-3, -3, 0, 0).center()] == [-2, -2]
-    assert value(box(0, 0, 8, 8).splittable(F.lit(4))) and not value(box(0, 0, 8, 8).splittable(F.lit(5)))
-    assert not value(box(float("nan"), 0.0, 8.0, 8.0, whole=False).splittable(F.lit(1.0)))
+def drawn(seed, dims, n=12):
+    """Pairs of boxes with corners on a small grid, so that edges often touch."""
+    rng = random.Random(seed)
+    corners = lambda: [sorted(rng.choices(range(-4, 7), k=2)) for _ in range(dims)]
+    return [(corners(), corners()) for _ in range(n)]
+
+
+def made(axes):
+    return box(*(a for a, _ in axes), *(b for _, b in axes))
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 5])
+def test_measures(value, dims):
+    for one, other in drawn(dims, dims):
+        a, b, sizes = made(one), made(other), [hi - lo for lo, hi in one]
+        for start in range(dims):
+            for count in range(1, dims - start + 1):
+                part = range(start, start + count)
+                faces = sum(math.prod(sizes[j] for j in part if j != i) for i in part)
+                grown = math.prod(max(one[i][1], other[i][1]) - min(one[i][0], other[i][0]) for i in part)
+                shared = math.prod(max(0, min(one[i][1], other[i][1]) - max(one[i][0], other[i][0])) for i in part)
+                whole = math.prod(sizes[i] for i in part)
+                want = (whole, sum(sizes[i] for i in part), 2 * faces, grown - whole, shared)
+                got = F.array(a.measure(start, count), a.perimeter(start, count), a.surface(start, count), a.enlargement(b, start, count), a.overlap_measure(b, start, count))
+                assert tuple(value(got)) == want
+
+
+def test_measures_saturate(value):
+    wide = Box((F.lit(-(1 << 63)),) * 2, (F.lit((1 << 63) - 1),) * 2)
+    assert value(wide.measure()) == value(wide.perimeter()) == MAX_LONG
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_predicates(value, dims):
+    for one, other in drawn(10 + dims, dims, 25):
+        a, b = made(one), made(other)
+        apart = [(hi <= c or d <= lo, hi < c or d < lo) for (lo, hi), (c, d) in zip(one, other, strict=True)]
+        point = [c for c, _ in other]
+        inside = all(lo <= p < hi for p, (lo, hi) in zip(point, one, strict=True))
+        holds = all(lo <= c and d <= hi for (lo, hi), (c, d) in zip(one, other, strict=True))
+        got = F.array(a.overlaps(b), a.intersects(b), a.contains(tuple(map(F.lit, point))), a.contains_box(b))
+        assert value(got) == [not any(x for x, _ in apart), not any(y for _, y in apart), inside, holds]
+        middle = [lo + (hi - lo) // 2 for lo, hi in one]
+        assert value(F.array(*a.center())) == middle
+        for least in (1, 2, 3):
+            want = all(lo < m < hi and m - lo >= least and hi - m >= least for m, (lo, hi) in zip(middle, one, strict=True))
+            assert value(a.splittable(F.lit(least))) == want
+
+
+def test_not_a_number_is_no_reason_to_split(value):
+    assert not value(box(float("nan"), -1.0, 6.5, 9.0, whole=False).splittable(F.lit(0.5)))
 
 
 def test_grid_join_is_the_theta_join(spark):
