@@ -29,6 +29,8 @@ from .url_filter import host
 
 MIN_PAGES = 5
 SALTS = 16
+#: Lists of templates are broadcast if they have no more hashes than this together.
+BROADCAST_HASHES = 1_000_000
 #: A kind of element beside the running text is furniture by its skeleton if it has this many
 #: words a page or fewer, and this share of the words of its pages or less.
 FEW_WORDS = 40
@@ -296,7 +298,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, list[int], list[int]]], list[
     def hashes(n):
         contents, skeletons = [], []
         while n is not None:
-            if n.slot:
+            # What is, holds or makes up an article never goes, so its hashes needn't be kept.
+            if n.slot and not (marked and (n.holds or inside[id(n)] and n.tag not in ARTICLE_CONTAINERS)):
                 contents.append(n.digest)
                 skeletons.append(n.slot)
             n = n.up
@@ -381,11 +384,16 @@ def main_text(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES)
     read; an empty table gives an empty result. Nothing is cut.
     """
     found = materialize(spark, parsed(pages), "pages")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    gone = templates(found, min_pages).select("host", "contents", "skeletons", salts.alias("salt"))
-    # A host may hold a third of all pages: its pages spread over the salts.
-    slim = found.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "body"), F.lit(SALTS)).cast("int").alias("salt"))
-    watched = slim.join(gone, ["host", "salt"], "left")
+    gone = materialize(spark, templates(found, min_pages), "templates")
+    slim = found.select("page_id", "url", "host", "body", "blocks")
+    held = gone.agg(F.coalesce(F.sum(F.size("contents") + F.size("skeletons")), F.lit(0))).first()[0]
+    if held <= BROADCAST_HASHES:
+        watched = slim.join(F.broadcast(gone), "host", "left")
+    else:
+        # A host may hold a third of all pages: its pages spread over the salts.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        slim = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "body"), F.lit(SALTS)).cast("int"))
+        watched = slim.join(gone.withColumn("salt", salts), ["host", "salt"], "left")
     none = F.array().cast("array<long>")
     # The host's list is gone through once per page, not once per block.
     for column, field in (("contents", "c"), ("skeletons", "s")):

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tesserax.llm import html_extract
 from tesserax.llm.html_extract import FEW_WORDS, MIN_PAGES, SMALL_SHARE, main_text, parse
 
 
@@ -141,7 +142,9 @@ def test_templates_go_by_their_counts_whatever_their_tags(spark, rename):
     assert all(r.by_content + r.by_skeleton > 0 and r.by_roles == 0 for r in got)
 
 
-def test_counting_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [html_extract.BROADCAST_HASHES, 0])
+def test_counting_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", limit)
     rng = random.Random(9)
     rows = []
     for i in range(300):
