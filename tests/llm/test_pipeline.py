@@ -1,7 +1,7 @@
 import zlib
 
 import corpus_pipeline
-from tesserax.llm import mixing, secrets, toxicity
+from tesserax.llm import mixing, runtime, secrets, toxicity
 from tesserax.llm.runtime import finished
 from test_mixing import slow as slow_mix
 from test_jaccard import slow as slow_groups
@@ -53,8 +53,8 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     assert all(sum(r.tokens for r in b) <= 2048 and len({r.doc_id for r in b}) == len(b) for b in bins.values())
 
 
-def test_run_has_the_columns_of_the_last_stage_and_leaves_no_other_tables(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}/shared")
+def test_run_has_the_columns_of_the_last_stage_and_leaves_no_other_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file:{tmp_path}/shared")
     spark.conf.set("spark.tesserax.ledger", f"file:{tmp_path}/ledger")
     try:
         out = corpus_pipeline.run(spark, SF)
@@ -67,7 +67,6 @@ def test_run_has_the_columns_of_the_last_stage_and_leaves_no_other_tables(spark,
         assert corpus_pipeline.run(spark, SF).count() == rows
         assert 0 < scanned == spark.read.parquet(f"file:{tmp_path}/ledger").count()
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
         spark.conf.unset("spark.tesserax.ledger")
 
 
