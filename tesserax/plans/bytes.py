@@ -438,7 +438,12 @@ def _(t):
     return journal.replay(log(t), log_cuts(t))
 
 
-@query("q_wal_crc")
+CRC = """table_ as (select list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tbl),
+ parts as (select seq, pid, lpad(to_hex(pid), 16, '0') || hex(encode(image)) as h from log where kind = 'page'),
+ octets as (select seq, pid, list_transform(range(0, strlen(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as b from parts)"""
+
+
+@query("q_wal_crc", f"with {LOG}, {CRC} select seq, pid, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295)::bigint as crc from octets, table_")
 def _(t):
     image = log(t).where("kind = 'page'")
     return image.select("seq", "pid", F.crc32(F.concat(F.unhex(F.lpad(F.hex("pid"), 16, "0")), F.encode("image", "utf-8"))).alias("crc"))
