@@ -70,14 +70,17 @@ def rank(df: DataFrame, key: str, out: str = "pos", ties: tuple[str, ...] = ())
     return prefix_sum(df, key, F.lit(1).cast("long"), out, ties)
 
 
-def neighbour(df: DataFrame, key: str, take: str, step: int, out: str) -> DataFrame:
-    """Add ``out``: column ``take`` of the next (step 1) or previous (step -1) row; keys are unique."""
+def neighbour(df: DataFrame, key: str, take: str, step: int, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``out``: column ``take`` of the next (step 1) or previous (step -1) row.
+
+    Keys are unique, or ``take`` is the key and ``ties`` orders the rows that share one.
+    """
     cut = bucketed(df, key)
     pick = F.min_by if step > 0 else F.max_by
     edge = _per_bucket(cut, pick(take, key).alias("_e"))
     across = Window.orderBy("_b")
     edges = edge.select("_b", (F.lead("_e") if step > 0 else F.lag("_e")).over(across).alias("_n"))
-    inside = Window.partitionBy("_b").orderBy(key)
+    inside = Window.partitionBy("_b").orderBy(key, *ties)
     fn = F.lead if step > 0 else F.lag
     marked = cut.withColumn("_i", fn(F.struct(F.col(take).alias("v"))).over(inside))
     value = F.when(F.col("_i").isNotNull(), F.col("_i.v")).otherwise(F.col("_n"))

@@ -367,7 +367,11 @@ def _(t):
 
 @query("q_lcp", "select page_id, len(list_filter(range(1, least(length(p), length(q)) + 1), lambda i: p[1:i] = q[1:i]))::bigint as n from (select page_id, url as q, lag(url) over (order by url) as p from pages) where p is not null")
 def _(t):
-    near = ordered.neighbour(t.pages.select("page_id", "url"), "url", "url", -1, "before")
+    pages = t.pages.select("page_id", "url")
+    near = ordered.neighbour(pages.where("url is not null"), "url", "url", -1, "before", ("page_id",))
+    # Rows without a url come last: the first of them follows the last url.
+    last = pages.agg(F.max("url").alias("before"), F.min(F.when(F.col("url").isNull(), F.struct("page_id"))).alias("first"))
+    near = near.unionByName(last.where("first is not null").select("first.page_id", F.lit(None).cast("string").alias("url"), "before"))
     return near.where("before is not null").select("page_id", runs.shared_prefix(F.col("before"), F.col("url")).cast("long").alias("n"))
 
 
