@@ -37,6 +37,29 @@ def join(left: DataFrame, right: DataFrame, size: tuple[float, float], closed: b
     return pairs.where((a.intersects(b) if closed else a.overlaps(b)) & own[0] & own[1]).drop("_c0", "_c1")
 
 
+BOUNDS = ["lo0", "hi0", "lo1", "hi1"]
+
+
+def different(table: DataFrame) -> DataFrame:
+    """The different two-dimensional boxes of a table and how many rows have each (``n``)."""
+    return table.groupBy(*BOUNDS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_within(table: DataFrame, key: str, margin: int, size: tuple[float, float], whole: bool = True) -> DataFrame:
+    """(key, fat, exact): how many boxes of the table overlap each one's box, grown by a margin
+    and as it is.
+
+    Equal boxes meet the same boxes, so only different ones are joined, with their numbers.
+    """
+    boxes = different(table)
+    fat = boxes.select(*BOUNDS, *Box.named(whole=whole).expanded(F.lit(margin)).columns("f_"))
+    asked = fat.select(F.struct(*BOUNDS).alias("box"), *(F.col(f"f_{c}").alias(c) for c in BOUNDS))
+    exact = Box(tuple(F.col(f"box.lo{i}") for i in (0, 1)), tuple(F.col(f"box.hi{i}") for i in (0, 1)), whole).overlaps(Box.named("r_", whole=whole))
+    counted = join(asked, boxes, size, whole=whole).groupBy("box").agg(F.sum("r_n").alias("fat"), F.sum(F.when(exact, F.col("r_n")).otherwise(0)).alias("exact"))
+    rows = table.select(key, *BOUNDS).join(counted.select("box.*", "fat", "exact"), BOUNDS)
+    return rows.groupBy(key).agg(F.sum("fat").alias("fat"), F.sum("exact").alias("exact"))
+
+
 def remove_first(table: DataFrame, hit: Column, order: str) -> DataFrame:
     """Without the one entry that matches and comes first in an explicit order."""
     first = table.where(hit).orderBy(order).limit(1).select(order)
