@@ -38,6 +38,8 @@ def join(left: DataFrame, right: DataFrame, size: tuple[float, float], closed: b
 
 
 BOUNDS = ["lo0", "hi0", "lo1", "hi1"]
+#: Ids of one box that travel as one list; a box with more has several lists.
+LIST = 1024
 
 
 def different(table: DataFrame) -> DataFrame:
@@ -60,6 +62,26 @@ def count_within(table: DataFrame, key: str, margin: int, size: tuple[float, flo
     return rows.groupBy(key).agg(F.sum("fat").alias("fat"), F.sum("exact").alias("exact"))
 
 
+def self_join(table: DataFrame, key: str, size: tuple[float, float], closed: bool = False, whole: bool = True) -> DataFrame:
+    """(a, b): the keys, a below b, of rows whose boxes meet.
+
+    Different boxes are joined first, each pair of them once; then the keys that have them,
+    in lists of about ``LIST`` keys, so that a box of very many rows is shared out.
+    """
+    boxes = different(table)
+    parted = table.select(key, *BOUNDS).join(boxes, BOUNDS).withColumn("part", F.pmod(F.xxhash64(key), F.ceil(F.col("n") / LIST)))
+    lists = parted.groupBy(F.struct(*BOUNDS).alias("box"), "part").agg(F.collect_list(key).alias("keys"))
+    met = join(boxes, boxes, size, closed, whole).select(F.struct(*BOUNDS).alias("box"), F.struct(*(F.col(f"r_{c}").alias(c) for c in BOUNDS)).alias("r_box")).where("box <= r_box")
+    both = met.join(lists, "box").join(lists.toDF("r_box", "r_part", "r_keys"), "r_box").where("box < r_box or part <= r_part")
+    # A few MB of lists become all the pairs: deal them out, or a task or two would list them.
+    both = both.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("box", "r_box", "part", "r_part"))
+    own = (F.col("box") == F.col("r_box")) & (F.col("part") == F.col("r_part"))
+    pairs = both.select(own.alias("own"), "r_keys", F.explode("keys").alias("x")).select("own", "x", F.explode("r_keys").alias("y"))
+    # A list meets itself in both orders, any two lists in one.
+    once = pairs.where("if(own, x < y, x <> y)")
+    return once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def remove_first(table: DataFrame, hit: Column, order: str) -> DataFrame:
     """Without the one entry that matches and comes first in an explicit order."""
     first = table.where(hit).orderBy(order).limit(1).select(order)
