@@ -1,12 +1,14 @@
 """Near-dedup by the Jaccard similarity of word shingles, for the pipeline.
 
 Texts with a similarity of ``NUM`` / ``DEN`` or more are near copies; groups are what such
-pairs connect. At 0.8, 64-bit fingerprints differ in about ten bits, too many for grid
-cells, so candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, where a
-pair at 0.8 shares none with probability 6e-5 and a closer pair less often. Whatever meets
-in a cell is decided on the exact shingle sets. First every text is compared with the
-first of its cell; then, in cells that this leaves in more than one group, all pairs of
-different groups. No cell is capped.
+pairs connect. First comes the method of ``simhash``: 64-bit fingerprints of the shingles,
+segment popcounts, the grid range-join under Manhattan distance and the check on the
+fingerprints; what it links is decided on the exact shingle sets. It reaches 2 bits, and at
+0.8 fingerprints differ in about ten, so MinHash finds the rest: ``BANDS`` bands of ``ROWS``
+minima each, where a pair at 0.8 shares no cell with probability 6e-5 and a closer pair less
+often. What meets in a cell, and no link has joined yet, is decided on the exact sets too:
+first each text with the heads of its cells, then, in cells that still hold more than one
+group, all pairs of different groups that share enough minima. No cell is capped.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .graph import components
 from .runtime import materialize
 
@@ -25,6 +28,12 @@ NUM, DEN = 4, 5
 BANDS, ROWS = 32, 6
 SEED = 42
 BLOCK = 1 << 12
+#: Heads that a cell is compared with, one after the other, before its rest is compared in pairs.
+ROUNDS = 2
+#: Of the ``BANDS * ROWS`` minima, a pair at 0.8 shares 154 with a deviation of 5.5; the rest of a
+#: cell is compared by these, in blocks of about ``MEMBERS`` texts, before the sets are.
+LIKE = 120
+MEMBERS = 512
 _RANDOM = np.random.default_rng(SEED)
 _MIX = _RANDOM.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _XOR, _ODD = _MIX[0], _MIX[1] * np.uint64(2) + np.uint64(1)
@@ -39,19 +48,20 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
 
 
-def bands(values: np.ndarray) -> list[int]:
-    """One cell per band; texts without words have none."""
+def bands(values: np.ndarray) -> tuple[list[int], bytes]:
+    """One cell per band, and the low byte of each minimum; texts without words have none."""
     if not len(values):
-        return []
+        return [], b""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(values), BLOCK):
         np.minimum(low, ((values[at : at + BLOCK] ^ _XOR) * _ODD).min(axis=1), out=low)
     rows = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
+    return [xxhash.xxh3_64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)], low.astype(np.uint8).tobytes()
 
 
 def shingled(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """(*carry, key, n, cells, grams) for (text, *carry): ``key`` stands for the whole set."""
+    """(*carry, key, n, fp, cells, minima, grams) for (text, *carry): ``key`` stands for the whole
+    set, ``fp`` is the SimHash fingerprint of its shingles."""
 
     def run(batches):
         for b in batches:
@@ -59,40 +69,89 @@ def shingled(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             ends = np.cumsum([0, *map(len, sets)])
             grams = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            cells = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), cells, grams.cast(pa.list_(pa.int64()))], names=[*carry, "key", "n", "cells", "grams"])
+            cells, minima = zip(*map(bands, sets), strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([simhash.majority(s) for s in sets], pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(minima, pa.binary()), grams.cast(pa.list_(pa.int64()))], names=[*carry, "key", "n", "fp", "cells", "minima", "grams"])
 
     slim = docs.select(F.col("text").cast("binary").alias("text"), *carry)
-    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in carry) + ", key long, n long, cells array<long>, grams array<long>")
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in carry) + ", key long, n long, fp long, cells array<long>, minima binary, grams array<long>")
 
 
-def _verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _grid(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(src, dst, m, n): sets whose SimHash fingerprints are linked by the grid range-join over
+    segment popcounts (see ``simhash.links``), each fingerprint by the smallest key that has it."""
+    own = sets.select("fp", "key", "n").distinct()
+    first = own.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first"))
+    near = simhash.links(first.select("fp"))
+    src, dst = first.toDF("src", "x"), first.toDF("dst", "y")
+    met = near.join(src, "src").join(dst, "dst").select(F.col("x.key").alias("src"), F.col("y.key").alias("dst"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
+    same = own.join(first, "fp").where("key <> first.key").select(F.col("first.key").alias("src"), F.col("key").alias("dst"), F.col("first.n").alias("m"), "n")
+    return met.union(same)
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Different pairs that the sizes of their sets allow, the smaller key first."""
+    fits = pairs.where(f"{DEN} * least(m, n) >= {NUM} * greatest(m, n)")
+    return fits.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _verified(spark: SparkSession, grams: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst): the pairs whose exact similarity is high enough."""
-    pairs = materialize(spark, pairs.where(f"{DEN} * least(m, n) >= {NUM} * greatest(m, n)").select("src", "dst").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
-    grams = materialize(spark, sets.select("key", "grams").join(asked, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams")), "sets")
-    both = pairs.join(grams.toDF("src", "x"), "src").join(grams.toDF("dst", "y"), "dst")
+    side = lambda k, v: grams.toDF(k, v).join(pairs.select(k).distinct(), k, "left_semi")
+    both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
     close = both.where(f"{NUM + DEN} * size(array_intersect(x, y)) >= {NUM} * (size(x) + size(y))")
     return materialize(spark, close.select("src", "dst"), "links")
 
 
+def _alike(met: DataFrame) -> DataFrame:
+    """(src, dst, m, n): pairs of a cell's groups that share enough minima, for members (cell,
+    key, n, root, minima). Blocks of members meet, so that rows don't grow with all pairs."""
+
+    def run(batches):
+        for b in batches:
+            for one, other in zip(b.column(0), b.column(1), strict=True):
+                (x, m, a, s), (y, n, c, t) = ([np.array([r[f] for r in side.as_py()]) for f in ("key", "n", "root")] + [np.frombuffer(b"".join(r["minima"] for r in side.as_py()), np.uint8).reshape(-1, BANDS * ROWS)] for side in (one, other))
+                for i in range(len(x)):
+                    near = np.flatnonzero((a[i] != c) & (x[i] != y) & (DEN * np.minimum(m[i], n) >= NUM * np.maximum(m[i], n)))
+                    near = near[(t[near] == s[i]).sum(axis=1) >= LIKE]
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), x[i])), pa.array(y[near]), pa.array(np.full(len(near), m[i])), pa.array(n[near])], names=["src", "dst", "m", "n"])
+
+    sized = met.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) / MEMBERS)))
+    lists = sized.groupBy("cell", "block").agg(F.collect_list(F.struct("key", "n", "root", "minima")).alias("xs"))
+    both = lists.join(lists.toDF("cell", "r_block", "ys"), "cell").where("block <= r_block")
+    return both.select("xs", "ys").mapInArrow(run, "src long, dst long, m long, n long")
+
+
 def groups(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """(node, root) for every key of ``sets`` (key, n, cells, grams) that has a near copy."""
+    """(node, root) for every key of ``sets`` (key, n, fp, cells, minima, grams) that has a near copy."""
     distinct = sets.select("key", "n", "cells").groupBy("key").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
-    cells = distinct.select("key", "n", F.explode("cells").alias("cell"))
-    own = Window.partitionBy("cell")
-    met = cells.withColumn("head", F.min(F.struct("key", "n")).over(own)).withColumn("size", F.count(F.lit(1)).over(own))
-    met = materialize(spark, met.where("size > 1").select("cell", "key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("m")), "cells")
-    links = _verified(spark, sets, met.where("key <> head").selectExpr("head as src", "key as dst", "m", "n"))
-    roots = components(spark, links)
-    rooted = met.join(roots, met.key == roots.node, "left").select("cell", "key", "n", "head", F.coalesce("root", "key").alias("root"))
-    split = rooted.groupBy("cell").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("cell")
-    # The head of a cell has been compared with all of it.
-    rest = materialize(spark, rooted.where("key <> head").join(split, "cell", "left_semi").select("cell", "key", "n", "root"), "open")
-    other = rest.toDF("cell", "dst", "n", "other")
-    pairs = rest.toDF("cell", "src", "m", "root").join(other, "cell").where(f"src < dst and root <> other and {DEN} * least(m, n) >= {NUM} * greatest(m, n)")
-    more = _verified(spark, sets, pairs.select("src", "dst", "m", "n"))
-    return roots if more.isEmpty() else components(spark, links.union(more))
+    size = F.count(F.lit(1)).over(Window.partitionBy("cell"))
+    met = materialize(spark, distinct.select("key", "n", F.explode("cells").alias("cell")).withColumn("size", size).where("size > 1"), "cells")
+    pairs = materialize(spark, _possible(_grid(spark, sets)), "pairs")
+    asked = met.select("key").union(pairs.select("src")).union(pairs.select("dst")).distinct()
+    known = sets.select("key", "minima", "grams").join(asked, "key", "left_semi").groupBy("key").agg(F.first("minima").alias("minima"), F.first("grams").alias("grams"))
+    known = materialize(spark, known, "sets")
+    grams = known.select("key", "grams")
+    links = _verified(spark, grams, pairs)
+    # Of a text and its copies the text itself shares most cells: the heads are those that meet most.
+    weights = met.groupBy("key").agg(F.sum("size").alias("weight"))
+    met, done, roots = met.join(weights, "key"), pairs, components(spark, links)
+    for turn in range(ROUNDS + 1):
+        rooted = met.join(roots, met.key == roots.node, "left").select("cell", "key", "n", "weight", F.coalesce("root", "key").alias("root"))
+        split = rooted.groupBy("cell").agg((F.min("root") < F.max("root")).alias("split"), F.max(F.struct("weight", "key", "n", "root")).alias("head")).where("split")
+        met = materialize(spark, rooted.join(split.select("cell", "head"), "cell"), "open")
+        if turn < ROUNDS:
+            near = met.where("root <> head.root").select(F.col("head.key").alias("src"), F.col("key").alias("dst"), F.col("head.n").alias("m"), "n")
+        else:
+            near = _alike(met.select("cell", "key", "n", "root").join(known.select("key", "minima"), "key"))
+        pairs = materialize(spark, _possible(near).join(done, ["src", "dst"], "left_anti"), "pairs")
+        more = _verified(spark, grams, pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(spark, links)
+        # The head was compared with all of its cell and gives way to the next.
+        met, done = met.where("key <> head.key").select("cell", "key", "n", "weight"), done.union(pairs)
+    return roots
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +164,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     i, h = F.col(id_col).cast("long"), F.xxhash64(text_col)
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(i, F.lit(0)).alias("i"), h.alias("h"))
     sets = shingled(docs.select(i.alias("doc_id"), F.col(text_col).alias("text"), h.alias("h")), ("doc_id", "h"))
-    sets = materialize(spark, sets.select(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h").alias("rank"), "key", "n", "cells", "grams"), "shingles")
+    sets = materialize(spark, sets.select(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h").alias("rank"), "key", "n", "fp", "cells", "minima", "grams"), "shingles")
     first = sets.groupBy("key").agg(F.min("rank").alias("rank"))
     roots = groups(spark, sets)
     best = first.join(roots, first.key == roots.node, "left").groupBy(F.coalesce("root", "key")).agg(F.min("rank").alias("rank"))

@@ -52,6 +52,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def majority(values: np.ndarray) -> int:
+    """The fingerprint of 64-bit hash values, as a signed 64-bit number; of none: zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(values), BLOCK):
+        part = np.ascontiguousarray(values[at : at + BLOCK], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp) for every row, from whole texts; a null text counts as empty.
 

@@ -49,3 +49,37 @@ def test_as_by_all_pairs_on_the_tables(spark):
 
 def test_empty_table(spark):
     assert jaccard.keep_one(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_of_texts_that_are_not_near_enough(spark, monkeypatch):
+    """Each pair shares about half, a few are near copies: rows that are compared exactly must not
+    grow with all pairs, and no link may be lost."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(20_000)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(4 + i % 3):
+            words[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*words[:-1], "end"])))
+    monkeypatch.setattr(jaccard, "MEMBERS", 32)
+    compared = []
+    real = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda s, g, pairs: compared.append(pairs.count()) or real(s, g, pairs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in jaccard.keep_one(spark, df).collect()) == slow(rows)
+    assert compared[-1] * 5 < len(rows) * (len(rows) - 1) // 2
+
+
+def test_links_pass_through_the_fingerprint_grid(spark, monkeypatch):
+    """A long text with one changed word has a fingerprint within 2 bits: the grid finds it."""
+    r = random.Random(2)
+    words = [f"w{r.randrange(20_000)}" for _ in range(4000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "another text of a few words only")]
+    found = []
+    real = jaccard._grid
+    monkeypatch.setattr(jaccard, "_grid", lambda s, sets: found.append(real(s, sets).distinct().count()) or real(s, sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in jaccard.keep_one(spark, df).collect()) == [1, 3] and found == [1]
