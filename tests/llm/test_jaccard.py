@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tesserax.llm import jaccard
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +84,52 @@ def test_links_pass_through_the_fingerprint_grid(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_grid", lambda s, sets: found.append(real(s, sets).distinct().count()) or real(s, sets))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in jaccard.keep_one(spark, df).collect()) == [1, 3] and found == [1]
+
+
+def test_only_pairs_that_may_be_near_copies_are_compared(spark, monkeypatch):
+    """All pairs of a large group have about two thirds in common: neither rows nor whole sets grow with them."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(20_000)}" for _ in range(150)]
+    rows = [(2000 + i, " ".join(f"y{r.randrange(10**6)}" for _ in range(60))) for i in range(100)]
+    for i in range(150):
+        words = list(base)
+        for at in r.sample(range(5, 145), 3):
+            words[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*words[:-1], "end"])))
+    compared, whole = [], []
+    verified, written = jaccard._verified, jaccard.materialize
+    monkeypatch.setattr(jaccard, "_verified", lambda s, g, pairs: compared.append(pairs.count()) or verified(s, g, pairs))
+
+    def note(s, df, name):
+        made = written(s, df, name)
+        if "grams" in made.columns:
+            whole.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "materialize", note)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in jaccard.keep_one(spark, df).collect()) == slow(rows)
+    assert 15 <= sum(compared) < len(rows) and 30 <= sum(whole) <= len(rows) - 90
+
+
+def test_bit_maps_never_rule_out_what_sets_have_in_common():
+    draw = np.random.default_rng(3)
+    for m, n, k in [(1, 1, 1), (9, 11, 9), (500, 620, 480), (500, 520, 0), (63, 65, 60), (40_000, 36_000, 35_000), (0, 0, 0)]:
+        values = draw.permutation(np.unique(draw.integers(0, 1 << 64, m + n, dtype=np.uint64)))
+        x, y = values[:m], values[m - k : m - k + n]
+        x_map, y_map = (np.frombuffer(jaccard.bit_map(v), np.uint8) for v in (x, y))
+        top = jaccard.common(x_map, len(x), np.stack([y_map, y_map]), np.array([len(y)] * 2))
+        assert len(np.intersect1d(x, y)) == k <= top[0] == top[1] and (m > 1000 or top[0] <= k + (m + n) // 10)
+
+
+def test_among_is_false_only_for_what_the_values_lack(spark, monkeypatch):
+    values = [-(1 << 63), (1 << 63) - 1, -1, 0, 7, 7, *range(10**6, 10**6 + 3000)]
+    own = spark.createDataFrame([(v,) for v in values], "v long")
+    for largest in (jaccard.LARGEST, jaccard.BUCKET):
+        monkeypatch.setattr(jaccard, "LARGEST", largest)
+        has = jaccard.among(own)
+        assert own.where(has("v")).count() == len(values)
+        assert spark.range(10**7, 10**7 + 9000).where(has("id")).count() <= 4500
+    assert own.where(jaccard.among(own.limit(0))("v")).count() == 0
